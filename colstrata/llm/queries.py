@@ -25,6 +25,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest, scan
 
@@ -73,7 +79,7 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_secrets, op6_pii, op8_mixing, op9_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op2_sharding, op3_secrets, op4_media, op6_pii, op8_mixing, op9_decontaminate, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
