@@ -37,6 +37,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -79,7 +85,7 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_secrets, op4_media, op6_pii, op8_mixing, op9_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op2_sharding, op3_secrets, op4_media, op6_pii, op7_quality, op8_mixing, op9_decontaminate, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
