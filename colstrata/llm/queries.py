@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shards
 
@@ -85,7 +91,7 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_secrets, op4_media, op6_pii, op7_quality, op8_mixing, op9_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_sharding, op3_secrets, op4_media, op6_pii, op7_quality, op8_mixing, op9_decontaminate, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
