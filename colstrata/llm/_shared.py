@@ -43,6 +43,13 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of that name in the shared folder, deleted when the driver's interpreter exits."""
+    path = f"{shared_dir(spark)}/colstrata-{name}"
+    _written.append((spark, path))
+    return path
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (a shuffled join); df is materialised."""
     return F.broadcast(df) if df.count() <= rows else df
