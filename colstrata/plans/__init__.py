@@ -1 +1 @@
-
+"""SQL entry, literal bounds, plan inspection."""
