@@ -153,12 +153,12 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, cap:
     """
     hashed = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed))
     found = mix(docs, weights, cap, seed, fan)
-    count = durable(found.groupBy("doc_id", "h").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).withColumnsRenamed({"doc_id": "_id", "h": "_h2"}), "copies")
-    keyed = docs.withColumn("_h", hashed)
-    again = count.where("_rows > 1")
-    on = lambda t: keyed.doc_id.eqNullSafe(t._id) & (keyed._h == t._h2)
+    count = durable(found.groupBy("doc_id", "h").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows")), "copies").alias("c")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", hashed.alias("h")).alias("t")  # a struct: no name can clash
+    on = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.h") == F.col("c.h"))
+    again = count.where("c.rows > 1")
     if not again.isEmpty():
-        one = keyed.join(again, on(again), "left_semi").dropDuplicates(["doc_id", "_h"])
-        keyed = keyed.join(again, on(again), "left_anti").unionByName(one)
-    out = keyed.join(count.where("_copies > 0"), on(count))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+        one = keyed.join(again, on, "left_semi").dropDuplicates(["doc_id", "h"])
+        keyed = keyed.join(again, on, "left_anti").unionByName(one).alias("t")
+    out = keyed.join(count.where("c.copies > 0"), on)
+    return out.select("t.row", F.explode(F.sequence(F.lit(1), F.col("c.copies")))).select("row.*")

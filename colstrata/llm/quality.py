@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = 12_0
     belief: dict[str, dict[str, float]] = {}
     for task in TASKS:
         found = polled.groupBy(task).count().collect()  # at most 3 ** labellers rows
-        patterns = np.array([[int(x) for x in r[task].split(",")] for r in found]).reshape(len(found), len(LABELLERS[task]))
+        patterns = np.array([[int(x) for x in r[task].split(",")] for r in found], dtype=np.int64).reshape(len(found), len(LABELLERS[task]))
         post, _, _ = expectation_maximisation(patterns, np.array([r["count"] for r in found], float))
         belief[task] = dict(zip((r[task] for r in found), post.tolist()))
     spark = docs.sparkSession
