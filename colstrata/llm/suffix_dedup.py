@@ -284,12 +284,13 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     occurs elsewhere; k is a hash of the text.  Ranges may overlap or repeat."""
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text")
     all_ = durable(base.mapInArrow(_regions, "doc_id long, k long, a long, n int, h long, r long, q long"), "regions")
-    again = all_.groupBy("h").count().where("count > 1").select("h")
+    # written, so that the join below has plain exchanges on both sides and adaptive execution can split hot anchors
+    again = durable(all_.groupBy("h").count().where("count > 1").select("h"), "again")
     shared = durable(all_.join(again, "h", "left_semi"), "shared")
     region = ["h", "n", "r", "q"]
     kinds = durable(shared.groupBy(*region).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "k", "a")).alias("at")), "kinds")
     groups = durable(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "groups")
-    whole = shared.join(kinds.where("c > 1").select(*region), region, "left_semi")
+    whole = shared.join(kinds.where("c > 1").select(*region), region, "left_semi")  # both written: hot regions are split
     out = whole.select("doc_id", "k", F.col("a").alias("s"), (F.col("a") + F.col("n") + (SPAN - 1)).alias("e"))
     pool = kinds.join(groups, "h").select("at.*", "n", "h", "c", "m")
     cuts = pool.groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "n", "h", "c")).alias("cuts"))
