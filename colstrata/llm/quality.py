@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,6 @@ from ._shared import durable
 
 BITS = 18
 TASKS = ("quality", "toxic")
-TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 # fixed values: insults that mark abusive prose
 INSULTS = frozenset("idiot idiots moron morons stupid scum trash loser losers pathetic disgusting worthless clown clowns imbecile dumb filthy vermin".split())
 PLAIN = frozenset(".,;:!?'\"()-\u2019\u00bf\u00a1")
@@ -38,43 +38,38 @@ PLAIN = frozenset(".,;:!?'\"()-\u2019\u00bf\u00a1")
 LABELLERS = {"quality": ("symbols", "variety", "runs", "fences", "words", "sentences", "shouting", "labelled"), "toxic": ("insults", "insulting", "learnt words", "learnt density", "labelled")}
 
 
-def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+WORD, MARK, CAPITAL = re.compile(r"[^\W_]+"), re.compile(r"(?:[^\w\s]|_)+"), re.compile(r"[A-Z\u00c0-\u00d6\u00d8-\u00de]")
 
 
-def _marks(token: str) -> int:
-    """Characters of a token that plain prose has not: symbols, and repeated stops."""
-    if token[0].isalnum():
-        return 0
-    return sum(c not in PLAIN for c in token) or (len(token) if len(token) > 1 and token[0] == token[-1] != "." else 0)
+def _marks(found: list[str]) -> int:
+    """Characters among runs of marks that plain prose has not: symbols, and repeated stops."""
+    return sum(k * (sum(c not in PLAIN for c in m) or (len(m) if len(m) > 1 and m[0] == m[-1] != "." else 0)) for m, k in Counter(found).items())
 
 
 def votes(text: str | None, learnt: frozenset[str] = frozenset(), label: tuple[int, int] | None = None) -> tuple[list[int], list[int]]:
     """Votes on (quality, toxic): 1 yes, 0 no, -1 abstain."""
-    t = tokens(text or "")
-    words = [w for w in t if w[0].isalnum()]
-    n, chars = len(words), len(text or "")
-    marks = sum(map(_marks, t))
-    fences = sum(w == "|" for w in t)
-    heavy = sum(1 for w in t if not w[0].isalnum() and len(w) >= 2 and len(set(w)) == 1 and w[0] != ".")
+    text = text or ""
+    words, marks = WORD.findall(text.lower()), MARK.findall(text)
+    n, chars = len(words), len(text)
+    odd = marks.count("|") + sum(k for m, k in Counter(marks).items() if len(m) > 1 and len(set(m)) == 1 and m[0] != ".")
     kinds = len(set(words))
-    same = sum(a == b for a, b in zip(words, words[1:]))
-    upper = sum(map(str.isupper, text or ""))
-    stops = (text or "").count(".") + (text or "").count("!") + (text or "").count("?")
+    same = sum(map(eq, words, words[1:]))
+    upper = len(CAPITAL.findall(text))
+    stops = text.count(".") + text.count("!") + text.count("?")
     if not n:
         quality = [0, 0, -1, -1, 0, 0, -1]
     else:
-        share = marks / max(1, chars)
+        share = _marks(marks) / max(1, chars)
         quality = [
             0 if share > 0.08 else 1 if share < 0.05 else -1,
-            -1 if n < 40 else 0 if kinds / n < 2.0 / math.sqrt(n) * 0.5 else 1,
+            -1 if n < 40 else 0 if kinds / n < 1 / math.sqrt(n) else 1,
             0 if same > 0.2 * n and n >= 10 else 1 if same < 0.05 * n else -1,
-            0 if fences + heavy > 0.05 * n else 1 if fences + heavy < 0.01 * n else -1,
+            0 if odd > 0.05 * n else 1 if odd < 0.01 * n else -1,
             0 if chars / n > 25 else 1 if 2.5 < chars / n < 14 else -1,
             -1 if n < 30 else 0 if stops < n / 150 else 1 if stops < n / 3 else 0,
             -1 if n < 5 else 0 if upper > 0.4 * chars else 1 if upper < 0.15 * chars else -1,
         ]
-    bad, found = sum(w in INSULTS for w in words), sum(w in learnt for w in words)
+    bad, found = sum(map(INSULTS.__contains__, words)), sum(map(learnt.__contains__, words))
     often = lambda k: -1 if k == 1 else int(k > 1)  # noqa: E731  one hit alone may be chance
     dense = lambda k: 0 if k < 0.003 * n or not k else 1 if k > 0.005 * n else -1
     toxic = [often(bad), dense(bad) if bad or n >= 20 else -1, often(found) if learnt else -1, dense(found) if learnt else -1]
@@ -83,16 +78,15 @@ def votes(text: str | None, learnt: frozenset[str] = frozenset(), label: tuple[i
 
 def features(text: str | None) -> np.ndarray:
     """Distinct hashed tokens of a text, and of how repetitive and marked it is."""
-    t = tokens(text or "")
-    n = max(1, len(t))
-    kinds = Counter(t)
-    marks = sum(map(_marks, t)) / max(1, len(text or ""))
-    top = max(kinds.values(), default=0) / n
-    same = sum(a == b for a, b in zip(t, t[1:])) / n
-    upper = sum(map(str.isupper, text or "")) / max(1, len(text or ""))
-    extra = [f"\0marks{min(20, int(marks * 50))}", f"\0top{min(10, int(top * 10))}", f"\0same{min(10, int(same * 10))}", f"\0size{n.bit_length()}", f"\0upper{int(upper * 5)}"]
-    h = xxhash.xxh32_intdigest
-    return np.unique(np.array([h(w) for w in [*kinds, *extra]], np.int64) & ((1 << BITS) - 1))
+    text = text or ""
+    words, marks = WORD.findall(text.lower()), MARK.findall(text)
+    n = max(1, len(words) + len(marks))
+    kinds = Counter(words)
+    top, same = max(kinds.values(), default=0) / n, sum(map(eq, words, words[1:])) / n
+    share, upper = _marks(marks) / max(1, len(text)), len(CAPITAL.findall(text)) / max(1, len(text))
+    extra = [f"\0marks{min(20, int(share * 50))}", f"\0top{min(10, int(top * 10))}", f"\0same{min(10, int(same * 10))}", f"\0size{n.bit_length()}", f"\0upper{int(upper * 5)}"]
+    h = np.array(list(map(xxhash.xxh32_intdigest, [*kinds, *set(marks), *extra])), np.int64)
+    return np.unique(h & ((1 << BITS) - 1))
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -180,7 +174,7 @@ def learn_words(labelled: DataFrame, least: float = 0.01, most: int = 5_000) ->
                 part = b.slice(at, 512)
                 seen = set()
                 for text, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = tokens(text or "")
+                    words = WORD.findall((text or "").lower())
                     seen.update((w, xxhash.xxh32_intdigest(v) - (1 << 31), x) for v, w in zip(["", *words], words) if w[0].isalpha())
                 word, before, toxic = zip(*seen) if seen else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(before, pa.int32()), pa.array(toxic, pa.int32())], ["word", "before", "toxic"])
