@@ -12,19 +12,22 @@ def _all(kind: str, pattern: str, context: int) -> Column:
     """Array of (kind, idx, gap, len, match, before, after) of the leftmost non-overlapping matches in column text.
 
     The text between matches (split) and the matches (extract all) alternate, so a match starts where the pieces and
-    matches before it end; positions are summed up later, over rows.
+    matches before it end; positions are summed up later, over rows.  Pieces and matches are zipped first: what a
+    lambda refers to from outside is computed again for every element, and the text must be split once only.
     """
     pieces, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    row = lambda m, i: F.struct(
+    n = F.size(pieces) - 1
+    zipped = F.arrays_zip(F.slice(pieces, 1, n).alias("p"), found.alias("m"), F.slice(pieces, 2, n).alias("q"))
+    row = lambda z, i: F.struct(
         F.lit(kind).alias("kind"),
         i.alias("idx"),
-        F.length(pieces[i]).alias("gap"),
-        F.length(m).alias("len"),
-        m.alias("match"),
-        F.right(pieces[i], F.lit(context)).alias("before"),
-        F.left(pieces[i + 1], F.lit(context)).alias("after"),
+        F.length(z["p"]).alias("gap"),
+        F.length(z["m"]).alias("len"),
+        z["m"].alias("match"),
+        F.right(z["p"], F.lit(context)).alias("before"),
+        F.left(z["q"], F.lit(context)).alias("after"),
     )
-    return F.when(F.col("text").rlike(pattern), F.transform(found, row)).otherwise(F.array())
+    return F.when(F.col("text").rlike(pattern), F.transform(zipped, row)).otherwise(F.array())
 
 
 def matches(docs: DataFrame, patterns: dict[str, str], context: int = 0) -> DataFrame:

@@ -31,7 +31,7 @@ def rows():
         if i % 10 == 1:
             text = out[i - 1][1]
         if i % 10 == 2:
-            w = out[i - 2][1].split()
+            w = (out[i - 2][1] or "a b c").split()
             w[len(w) // 2] = "Changed"
             text = " ".join(w)
         if i % 15 == 3:
