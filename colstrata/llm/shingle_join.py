@@ -1,0 +1,172 @@
+"""Near-duplicates by shingle similarity: an exact set join, without a fingerprint in between.
+
+A text is its set of distinct word shingles (XXH64).  Two sets link where their Jaccard similarity is at least
+``similarity`` = p / q.  Sets are put in one order that all share, rare shingles first; two sets that link then have
+a shingle in common among the first ``n - ceil(p n / q) + 1`` of each (the prefix filter), so no link is lost.  The
+number of prefix shingles that a pair has in common bounds its overlap, and pairs that pass are compared in full.
+
+The order affects only the work: shingles that repeat in a sample of the texts go last, by count, so that common
+lines are in no prefix, or few.  Only components are asked for, so pairs are tried in two steps: in each
+prefix shingle's group every set with the smallest set and with the one before it, which joins large groups of near
+copies by a number of pairs linear in them; then all pairs whose sets are still apart.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ._shared import components, durable
+
+SIMILARITY = (4, 5)
+#: Texts in the sample and shingles in the list that make the order; both affect work, never links.
+SAMPLE, COMMON = 16_384, 200_000
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct shingles' XXH64, ascending.  Letters, words and short texts as in ``simhash.fingerprint``."""
+    tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not tokens:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(tokens)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    k = min(words, len(tokens))
+    h = xxhash.xxh64_intdigest
+    s, e = starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
+    return np.unique(np.fromiter((h(joined[i:j]) for i, j in zip(s, e)), np.uint64, len(s)))
+
+
+def _node(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64))
+
+
+def _common(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles of several sampled texts, the most frequent last."""
+    key = F.xxhash64("text")
+    rate = max(1, docs.count() // SAMPLE)
+    texts = docs.where(F.pmod(key, F.lit(rate)) == 0).groupBy(key.alias("k")).agg(F.min("text").alias("text")).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], ["h"])
+
+    often = texts.mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
+    top = often.orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
+    return top["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+
+
+def _prefixes(docs: DataFrame, words: int, similarity: tuple[int, int], common: np.ndarray) -> DataFrame:
+    """``(doc_id, node, proof, n, prefix array<long>)``: node and proof tell sets apart, prefix are the first shingles."""
+    p, q = similarity
+    at = np.argsort(common)
+    held = docs.sparkSession.sparkContext.broadcast((common[at], at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, rank = held.value
+        for b in batches:
+            nodes, proofs, sizes, firsts = [], [], [], []
+            for t in b.column(1):
+                found = shingles(t.as_py(), words)
+                n = len(found)
+                want = n - -(-p * n // q) + 1
+                if len(values):
+                    place = np.minimum(np.searchsorted(values, found), len(values) - 1)
+                    late = values[place] == found
+                    first = found[~late][:want]
+                    if len(first) < want:
+                        first = np.concatenate([first, found[late][np.argsort(rank[place[late]], kind="stable")][: want - len(first)]])
+                else:
+                    first = found[:want]
+                nodes.append(_node(found))
+                proofs.append(int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64)))
+                sizes.append(n)
+                firsts.append(first.view(np.int64))
+            ends = np.cumsum([0, *map(len, firsts)])
+            flat = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64()), pa.array(sizes, pa.int32()), prefix], ["doc_id", "node", "proof", "n", "prefix"])
+
+    return docs.mapInArrow(run, "doc_id long, node long, proof long, n int, prefix array<long>")
+
+
+def _possible(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Distinct ``(a, b)`` of rows ``(a, na, b, nb)``, one a shared prefix shingle, that can reach the similarity."""
+    p, q = similarity
+    rest = lambda n: F.floor((n.cast("long") * p + (q - 1)) / q) - 1
+    na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
+    fits = F.least(na, nb) * q >= F.greatest(na, nb) * p
+    most = F.col("shared") + F.greatest(rest(na), rest(nb))
+    return pairs.where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(most * (p + q) >= (na + nb) * p).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """The ``(a, b)`` of ``pairs`` whose sets reach the similarity, by their whole sets."""
+    p, q = similarity
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
+    texts = docs.join(asked.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(t.as_py(), words) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "hashes"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.x, b.y):
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(u) + len(v) - len(np.union1d(u, v))
+                keep.append(both * (p + q) >= (len(u) + len(v)) * p)
+            yield b.loc[keep, ["a", "b"]]
+
+    # a doc_id may have several texts, and a set several doc_ids: one row for each node
+    have = texts.select("text").mapInArrow(sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    have = durable(have, "sets")
+    with_x = pairs.join(have.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    return with_x.join(have.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
+
+
+def groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """``(doc_id, component_id)`` of ``docs(doc_id, text)``, for each doc_id that is not null: the smallest doc_id reachable over links.
+
+    Texts of one doc_id link.  Texts without words are one empty set, and link.
+    """
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    all_ = durable(_prefixes(docs, words, similarity, _common(docs, words)), "prefixes")
+    nodes = all_.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("proof") != F.max("proof")).alias("clash"))
+    nodes = durable(nodes, "nodes")
+    if not nodes.where("clash").isEmpty():
+        raise ValueError("two shingle sets share a 64-bit node id")
+    by = Window.partitionBy("h").orderBy("n", "node")
+    seen = nodes.select(F.explode("prefix").alias("h"), "node", "n").withColumn("next", F.lead("node").over(by)).withColumn("low", F.first("node").over(by)).withColumn("nlow", F.first("n").over(by)).withColumn("prev", F.lag("node").over(by)).withColumn("nprev", F.lag("n").over(by))
+    seen = durable(seen.where("prev IS NOT NULL OR next IS NOT NULL").select("h", "node", "n", "low", "nlow", "prev", "nprev"), "shared")
+    first = seen.where("node <> low").select(F.col("low").alias("a"), F.col("nlow").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    chain = seen.where("prev IS NOT NULL AND prev <> low").select(F.col("prev").alias("a"), F.col("nprev").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    some = durable(_possible(first.unionByName(chain), similarity), "pairs")
+    edges = durable(_verified(some, nodes, docs, words, similarity), "links")
+    label = durable(components(edges), "joined")
+    apart = seen.select("h", "node", "n").join(label, "node", "left").select("h", "node", "n", F.coalesce("label", "node").alias("label"))
+    mixed = apart.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("h")
+    apart = durable(apart.join(mixed, "h", "left_semi"), "apart")
+    x = apart.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = apart.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    p, q = similarity
+    sized = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    rest = x.join(y, "h").where(sized & (F.col("la") != F.col("lb")) & (F.col("na").cast("long") * q >= F.col("nb").cast("long") * p))
+    rest = durable(_possible(rest.select("a", "na", "b", "nb"), similarity).join(some, ["a", "b"], "left_anti"), "pairs")
+    edges = edges.unionByName(_verified(rest, nodes, docs, words, similarity))
+    of = nodes.select("node", "doc")
+    found = edges.join(of.select(F.col("node").alias("a"), F.col("doc").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("doc").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    several = all_.select("doc_id", "node").distinct().join(of, "node").groupBy("doc_id").agg(F.min("doc").alias("a"), F.collect_set("doc").alias("b")).where(F.size("b") > 1)
+    label = components(found.unionByName(several.select("a", F.explode("b").alias("b"))))
+    doc = of.join(label.select(F.col("node").alias("doc"), "label"), "doc", "left").select("node", F.coalesce("label", "doc").alias("component_id"))
+    return all_.select("doc_id", "node").join(doc, "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import components, durable, small
+from .shingle_join import SIMILARITY, groups
 
 TILE = 16_384
 
@@ -255,16 +256,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, width: int
     return docs_fp.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, radius: int = 24, width: int = 128, tile: int = TILE) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near-duplicates the one of the smallest doc_id.
 
-    128 bits over five-word shingles: texts of similarity 0.8 differ in 19.4 +- 4.1 bits, unrelated texts in
-    64 +- 5.7, so the radius of 24 takes in nine of ten pairs at 0.8 (all but a few above) and no unrelated pair.
+    Groups are the components of all pairs whose sets of five-word shingles have a Jaccard similarity of 4/5 or more;
+    pairs are found and compared exactly (``shingle_join``), without fingerprints.
     Documents without words stay as they are, each its own group; rows without doc_id stay too.  Of rows that
     repeat a doc_id one stays.
     """
     blank = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))) == 0
-    found = near_duplicates(docs.where(~blank).select("doc_id", "text"), words, radius, width, tile)
+    found = groups(docs.where(~blank).select("doc_id", "text"), words, similarity)
     lose = durable(found.where("doc_id <> component_id").select("doc_id").distinct(), "lose")
     once = docs.join(small(lose), "doc_id", "left_anti").select(docs.columns)
     again = durable(once.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")

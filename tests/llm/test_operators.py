@@ -283,6 +283,38 @@ def test_op10(docs, rows, words, radius, width, tile):
     assert got == {i: (values[i], label[i]) for i in values}
 
 
+def test_near_dedup_links_exactly_at_its_similarity(spark):
+    """Pairs of all similarities about 0.8, a chain and a large group, against the plain definition."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    texts = []
+    for k in range(150):
+        base = [word() for _ in range(rng.choice([3, 8, 24, 60, 150]))]
+        texts += [" ".join(base), " ".join(base[: len(base) - rng.randint(0, len(base) // 3)])]
+        other = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            other[rng.randrange(len(other))] = word()
+        texts.append(" ".join(other))
+    line = [word() for _ in range(40)]  # a common line, and near copies of it in one large group
+    texts += [" ".join(line + [word() for _ in range(rng.randint(1, 40))]) for _ in range(80)]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+    top = lambda i: i if up[i] == i else top(up[i])
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.near_dedup(table).collect()} == {i for i in up if top(i) == i}
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (700, 700)], "a long, b long")
     got = {r.node: r.label for r in _shared.components(edges).collect()}
