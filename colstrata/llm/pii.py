@@ -3,7 +3,8 @@
 The base forms' matches are the seeds.  Every seed, and every other token that has a digit, is an instance with
 lexical patterns: the word before, the two words before and the word after it.  Pattern and instance scores are
 then refined in turns on the bipartite graph: a pattern's confidence for a kind is the mean score of its distinct
-instances (smoothed, and with at least ``support`` scored instances), an instance's score is the noisy-or of its
+instances (smoothed, and with at least ``support`` instances that are seeds or scored ``accept`` or more in the
+round before, so discovered values admit new patterns), an instance's score is the noisy-or of its
 patterns.  Tokens whose score ends at ``accept`` or more are added as kind ``context``.  Scores are summed per
 pattern and per instance with partial aggregation, so a hot word costs no task more than its distinct neighbours.
 """
@@ -51,17 +52,19 @@ def bootstrap(instances: DataFrame, rounds: int = ROUNDS, support: int = 5, acce
     edges = durable(instances.select("value", "kind", "pattern").distinct(), "graph")
     if edges.where("kind IS NULL").isEmpty() or edges.where("kind IS NOT NULL").isEmpty():
         return edges.select("value", "kind", F.lit(0.0).alias("score")).limit(0)
-    size = durable(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.col("kind").isNotNull()).alias("seeds")).where(F.col("seeds") >= support), "sizes")
-    live = durable(edges.join(size.select("pattern"), "pattern", "left_semi"), "live")
-    seeds = live.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("sum"))
-    unknown = live.where("kind IS NULL").select("value", "pattern")
+    size = durable(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.col("kind").isNotNull()).alias("seeds")), "sizes")
+    seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("sum"))
+    unknown = durable(edges.where("kind IS NULL").select("value", "pattern"), "unknown")
     score = None
     for _ in range(rounds):
-        mass = seeds
+        mass, live = seeds, size.where(F.col("seeds") >= support)
         if score is not None:
             mass = seeds.unionByName(unknown.join(score, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum")))
             mass = mass.groupBy("pattern", "kind").agg(F.sum("sum").alias("sum"))
-        trust = mass.join(size, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("n") + 1)).alias("conf")).where("conf >= 0.1")
+            taken = score.where(F.col("score") >= accept).select("value").distinct()
+            found = unknown.join(taken, "value").groupBy("pattern").agg(F.count("*").alias("found"))
+            live = size.join(found, "pattern", "left").where(F.col("seeds") + F.coalesce("found", F.lit(0)) >= support)
+        trust = mass.join(live, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("n") + 1)).alias("conf")).where("conf >= 0.1")
         score = unknown.join(trust, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.col("conf"))))).alias("score"))
         score = durable(score, "scores")
     best = score.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))

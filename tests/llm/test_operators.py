@@ -180,6 +180,16 @@ def test_op6_contexts_find_unseen_identifiers(spark):
     assert out[201].n_email == 2 and out[201].n_ip == 2
 
 
+def test_op6_discovered_values_admit_patterns(spark):
+    rows = [(f"email=s{i}", "email", "1<mailbox") for i in range(40)]
+    rows += [(f"v{i}", None, p) for i in range(8) for p in ("1<mailbox", "1>desk")]  # found by the seeds' pattern
+    rows += [(f"s{i}", None, "1<nothing") for i in range(8)]
+    more = [(f"email=t{i}", "email", "2<my mailbox") for i in range(60)] + [(f"v{i}", None, "2<my mailbox") for i in range(8)]
+    rows += more + [("w", None, "1>desk"), ("lone", None, "1>elsewhere")]
+    got = {r.value for r in pii.bootstrap(spark.createDataFrame(rows, "value string, kind string, pattern string")).collect()}
+    assert got == {f"v{i}" for i in range(8)} | {"w"}
+
+
 def test_op7_label_model_recovers_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.3
