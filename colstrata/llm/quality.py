@@ -38,7 +38,15 @@ PLAIN = frozenset(".,;:!?'\"()-\u2019\u00bf\u00a1")
 LABELLERS = {"quality": ("symbols", "variety", "runs", "fences", "words", "sentences", "shouting", "labelled"), "toxic": ("insults", "insulting", "learnt words", "learnt density", "labelled")}
 
 
-WORD, MARK, CAPITAL = re.compile(r"[^\W_]+"), re.compile(r"(?:[^\w\s]|_)+"), re.compile(r"[A-Z\u00c0-\u00d6\u00d8-\u00de]")
+WORD, MARK = re.compile(r"[^\W_]+"), re.compile(r"(?:[^\w\s]|_)+")
+
+
+def _capitals(text: str, low: str) -> int:
+    """Upper-case letters of any script: characters that differ from the lower-cased text."""
+    if len(text) != len(low):  # a few capitals become two characters
+        return sum(map(str.isupper, text))
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in (text, low))
+    return int(np.count_nonzero(a != b))
 
 
 def _marks(found: list[str]) -> int:
@@ -49,12 +57,13 @@ def _marks(found: list[str]) -> int:
 def votes(text: str | None, learnt: frozenset[str] = frozenset(), label: tuple[int, int] | None = None) -> tuple[list[int], list[int]]:
     """Votes on (quality, toxic): 1 yes, 0 no, -1 abstain."""
     text = text or ""
-    words, marks = WORD.findall(text.lower()), MARK.findall(text)
+    low = text.lower()
+    words, marks = WORD.findall(low), MARK.findall(text)
     n, chars = len(words), len(text)
     odd = marks.count("|") + sum(k for m, k in Counter(marks).items() if len(m) > 1 and len(set(m)) == 1 and m[0] != ".")
     kinds = len(set(words))
     same = sum(map(eq, words, words[1:]))
-    upper = len(CAPITAL.findall(text))
+    upper = _capitals(text, low)
     stops = text.count(".") + text.count("!") + text.count("?")
     if not n:
         quality = [0, 0, -1, -1, 0, 0, -1]
@@ -79,11 +88,12 @@ def votes(text: str | None, learnt: frozenset[str] = frozenset(), label: tuple[i
 def features(text: str | None) -> np.ndarray:
     """Distinct hashed tokens of a text, and of how repetitive and marked it is."""
     text = text or ""
-    words, marks = WORD.findall(text.lower()), MARK.findall(text)
+    low = text.lower()
+    words, marks = WORD.findall(low), MARK.findall(text)
     n = max(1, len(words) + len(marks))
     kinds = Counter(words)
     top, same = max(kinds.values(), default=0) / n, sum(map(eq, words, words[1:])) / n
-    share, upper = _marks(marks) / max(1, len(text)), len(CAPITAL.findall(text)) / max(1, len(text))
+    share, upper = _marks(marks) / max(1, len(text)), _capitals(text, low) / max(1, len(text))
     extra = [f"\0marks{min(20, int(share * 50))}", f"\0top{min(10, int(top * 10))}", f"\0same{min(10, int(same * 10))}", f"\0size{n.bit_length()}", f"\0upper{int(upper * 5)}"]
     h = np.array(list(map(xxhash.xxh32_intdigest, [*kinds, *set(marks), *extra])), np.int64)
     return np.unique(h & ((1 << BITS) - 1))
@@ -160,12 +170,12 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit("half")), F.lit(2)) == 1
 
 
-def learn_words(labelled: DataFrame, least: float = 0.01, most: int = 5_000) -> frozenset[str]:
+def learn_words(labelled: DataFrame, least: float = 0.01) -> frozenset[str]:
     """Words that mark toxic texts, from ``labelled(text, toxic)``.
 
     A word's weight is the number of different words that it follows: copies of a text add nothing to it.  Words with
     weight in toxic texts of at least 5 and ``least`` times their number, over thirty times that in the others (for
-    as many texts); the ``most`` weightiest, if there are more.
+    as many texts).  All of them: the table is a bounded sample of labelled rows, and so is its vocabulary.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +196,7 @@ def learn_words(labelled: DataFrame, least: float = 0.01, most: int = 5_000) ->
     met = labelled.mapInArrow(pairs, "word string, before int, toxic int").distinct()
     by = met.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     marked = by.where((F.col("a") >= max(5.0, least * yes)) & (F.col("a") / yes > 30 * F.greatest(F.col("b"), F.lit(0.1)) / no))
-    return frozenset(r.word for r in marked.orderBy(F.desc("a"), "word").limit(most).collect())
+    return frozenset(r.word for r in marked.collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = 12_000, label_rows: int = 16_000) -> dict[str, tuple[np.ndarray, float]]:
@@ -266,13 +276,17 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, train_rows: int =
 
 
 def filtered(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = 12_000, label_rows: int = 16_000) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns; rows are dropped in place, without a join."""
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns; rows are dropped in place, without a join.
+
+    Nulls, empty texts, repeated rows and empty tables are as in ``classify``; columns may have any name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_rows, label_rows))
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             quality, toxic = scores(b.column(at).to_pylist(), shared.value)
             yield b.filter(pa.array((quality > 0.5) & (toxic < 0.5)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # any name is allowed
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
