@@ -6,13 +6,15 @@ import atexit
 import functools
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a table may have to be broadcast; the callers count first and have another plan beyond it.
 BROADCAST_ROWS = 200_000
 _written: list[tuple[SparkSession, str]] = []
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,13 +36,16 @@ def _local_dir() -> str:
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, a lost executor loses nothing.
 
-    The files are deleted when the driver's interpreter exits.
+    The files are deleted by ``release``, or when the driver's interpreter exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/colstrata-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -55,12 +60,35 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """The named columns as they are, dots and backticks in their names too."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in the one column of ``ids``, all columns in their order."""
+    gone = small(ids.toDF("__gone"))
+    return df.join(gone, df[key] == gone["__gone"], "left_anti")
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of tables that ``durable`` made, once no plan that is still to run reads them."""
+    for df in frames:
+        path = _paths.pop(id(df), None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may already be gone; the folder is scratch space
             return
 
@@ -70,18 +98,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star contraction; each round is written to the shared folder.  Rounds stop
     when the edge set no longer changes (a handful of rounds: each at least halves the depth of what is left).
-    Self loops and repeated edges are allowed.  No edges give no rows.
+    Self loops and repeated edges are allowed.  No edges give no rows.  Each node's least neighbour is written before it is
+    joined: a hub of very many edges is then broadcast to, or split by adaptive execution, and is no task of its own.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = durable(e, "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        star = e.join(low, "u")
-        e = durable(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = both.join(small(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = durable(large, "edges")
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        star = large.join(small(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = durable(star.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(e, low, large, least)
+        e = after
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

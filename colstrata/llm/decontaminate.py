@@ -10,7 +10,9 @@ its positioned shingles; a document holds the window where it holds all of them
 3. Length and positional bounds drop starts outside the document; the rest is verified exactly: the shingles
    found from start to end must be the window's, one by one.
 
-The text is read once and shuffled never: what is shuffled are positions of shared shingles.
+The text is read once and shuffled never: what is shuffled are positions of shared shingles.  Items' shingles are
+broadcast up to a checked number; beyond it a bit map of their hashes, of bounded size, is, so that even then only
+positions that may be shared are shuffled.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, durable, small
+from ._shared import BROADCAST_ROWS, durable, small, without
 
 WINDOW = 13
 SHINGLE = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Longs of the bit map that stands in for the items' shingles beyond BROADCAST_ROWS (16 MB at most).
+MAP_LONGS = 1 << 21
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -59,14 +63,27 @@ def _positions(docs: DataFrame, shingles: DataFrame, width: int, first: bool) ->
     if voc.count() <= BROADCAST_ROWS:
         joined = rows.join(F.broadcast(voc), "h", "left").where((F.col("p") == -1) | (F.col("vid").isNotNull() & same))
         return joined.select("rid", "doc_id", "n_words", "p", "vid")
-    joined = rows.where("p >= 0").join(voc, "h").where(same).select("rid", "doc_id", "n_words", "p", "vid")
+    bits = _bit_map(voc.select("h"))
+    long = F.expr(f"get(bits, cast(pmod(shiftright(h, 6), {MAP_LONGS}) as int))")
+    may = rows.where("p >= 0").join(F.broadcast(bits)).withColumn("long", long).where("(shiftrightunsigned(long, cast(pmod(h, 64) as int)) & 1) = 1").drop("long")
+    joined = may.drop("bits").join(voc, "h").where(same).select("rid", "doc_id", "n_words", "p", "vid")
     return joined.unionByName(rows.where("p = -1").select("rid", "doc_id", "n_words", "p", F.lit(None).cast("long").alias("vid")))
 
 
+def _bit_map(hashes: DataFrame) -> DataFrame:
+    """One row ``(bits array<long>)``, MAP_LONGS long: bit h mod 64 of long h / 64 is set for every ``h``."""
+    at = F.pmod(F.shiftright("h", 6), F.lit(MAP_LONGS)).alias("at")
+    one = F.expr("shiftleft(1L, cast(pmod(h, 64) as int))")
+    cells = hashes.groupBy(at).agg(F.bit_or(one).alias("b"))
+    every = hashes.sparkSession.range(MAP_LONGS).toDF("at").join(cells, "at", "left").select("at", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return durable(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]).alias("bits")), "bits")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, item_ids array<string>)``, one row per row of ``docs(doc_id, text)``.
+    """``(doc_id, n_words, n_hit, n_items, item_ids array<string>, n_whole)``, one row per row of ``docs(doc_id, text)``.
 
-    n_hit: words inside any occurrence of a window; item_ids: the items with occurring windows, sorted as strings.
+    n_hit: words inside any occurrence of a window; item_ids: the items with occurring windows, sorted as strings;
+    n_whole: places where a window of full size starts, not one of a shorter item.
     Null, empty and wordless texts have no words and no hits; items without words have no windows; repeated rows
     and rows without doc_id are each judged alone; an empty table of items hits nothing; other columns are ignored.
     """
@@ -78,6 +95,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     each = durable(each.join(voc, ["k", "tokens"]).select("win", "len", "k", "j", "vid"), "sets")
     base = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("rid", F.monotonically_increasing_id())
     widths = sorted(r.k for r in voc.select("k").distinct().collect())  # at most ``shingle`` values
+    if len(widths) > 1:  # several passes: the numbers of the rows must be the same in all of them
+        kept = durable(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "numbered")
+        base = kept.select("doc_id", words(F.col("text")).alias("w"), "rid")
     found = None
     for width in widths or [shingle]:
         if found is None:
@@ -103,17 +123,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["s"] + x["len"] - F.greatest(a["end"], x["s"]))).alias("n"), F.greatest(a["end"], x["s"] + x["len"]).alias("end")),
     )["n"]
-    by = by.select("rid", covered.cast("long").alias("n_hit"), "item_ids")
+    whole = F.size(F.filter("at", lambda x: x["len"] >= window)).cast("long")
+    by = by.select("rid", covered.cast("long").alias("n_hit"), "item_ids", whole.alias("n_whole"))
     out = found.where("p = -1").select("rid", "doc_id", F.col("n_words").cast("long").alias("n_words")).join(by, "rid", "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_whole", F.lit(0).cast("long")).alias("n_whole"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` of which less than a twentieth of the words lie in windows of ``items``.
+    """The rows of ``docs`` that hold no passage of ``items``.
 
-    A doc_id goes if any row with it is contaminated; rows without doc_id stay.
+    A document goes if a whole window of ``window`` words of an item occurs in it, however long it is; items of fewer
+    words are common phrases, and a document goes for them only if at least a twentieth of its words lie in windows.
+    A doc_id goes if any row with it does; rows without doc_id stay.  All columns come back, in their order.
     """
-    bad = contamination(docs, items, window, shingle).where("n_hit > 0 AND 20 * n_hit >= n_words AND doc_id IS NOT NULL")
-    bad = durable(bad.select("doc_id").distinct(), "bad")
-    return docs.join(small(bad), "doc_id", "left_anti").select(docs.columns)
+    bad = contamination(docs, items, window, shingle).where("(n_whole > 0 OR (n_hit > 0 AND 20 * n_hit >= n_words)) AND doc_id IS NOT NULL")
+    return without(docs, durable(bad.select("doc_id").distinct(), "bad"))

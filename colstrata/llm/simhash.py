@@ -1,20 +1,22 @@
 """SimHash near-duplicates: tiled exact comparison of fingerprints.
 
-Fingerprints are compared in tiles of numpy arrays by exclusive-or and bit counts.  Within a bucket, rows are
-ordered by population count, and a pair of tiles is skipped when its population counts differ by more than the
-radius (two fingerprints at distance d differ by at most d in their counts), so nothing is lost.
-
-Two layouts give the same links.  Where the radius is small against the width (width // (radius + 1) >= 16
-bits), the fingerprint is cut in radius + 1 blocks: two fingerprints within the radius agree on a whole block,
-so only fingerprints sharing a block meet.  Otherwise all fingerprints are one bucket, cut in tiles, and the
-tile pairs are spread over the cluster.  Buckets over ``tile`` rows are cut in tiles in the same way.
-
-Only a spanning forest of each tile pair's links leaves the task, never all pairs of a group; equal
-fingerprints are merged before.  Components then come from star contraction on Spark.
+Fingerprints are compared in tiles of numpy arrays by exclusive-or and bit counts.  Rows are ordered by population
+count, and a pair of tiles is skipped when its population counts differ by more than the radius (two fingerprints at
+distance d differ by at most d in their counts), so nothing is lost.
+
+``near_duplicates`` links fingerprints at a small radius.  The fingerprint is cut in radius + 1 blocks: two within the
+radius agree on a whole block, so only fingerprints that share a block (a bucket) meet, in tiles, whatever the size of
+the bucket; buckets over ``tile`` rows are spread over the cluster by tile pairs.  A radius too wide for blocks makes
+all fingerprints one bucket.  Only a spanning forest of each tile pair's links leaves the task, never all pairs of a
+group; equal fingerprints are merged before.  Components then come from star contraction on Spark.
+
+``near_dedup`` is for shingle sets: candidates come from the same tiles at a wide radius, and every link is then checked
+on the whole sets, so none is false.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, durable, small
-from .shingle_join import SIMILARITY, groups
+from ._shared import components, durable, quoted, release, small, without
+from .set_check import checked, sketches
 
 TILE = 16_384
+#: Rows of a tile inside a bucket that one task holds whole.
+INNER = 256
+#: Cosine of shingle sets, as p / q, and the fingerprints that find it: at 4/5 two sets differ in 0.2048 of the bits, 52.4 of
+#: 256 with a deviation of 6.5; the radius is 2.5 deviations above.
+SIMILARITY, WIDTH, RADIUS = (4, 5), 256, 68
 
 
 def fingerprint(text: str | None, words: int = 3, width: int = 64, seed: int = 42) -> bytes:
@@ -68,19 +75,29 @@ def fingerprints(docs: DataFrame, words: int = 3, width: int = 64, seed: int = 4
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary")
 
 
-def _links(x: np.ndarray, y: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i of x, j of y) of rows at distance <= radius; x, y: (n, lanes) uint64, compared in small tiles."""
-    step = max(1, 262_144 // max(1, len(y)))
+def _links(x: np.ndarray, y: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs (i of x, j of y) of rows at distance <= radius, and the distances; x, y: (n, lanes) uint64.
+
+    Lanes are added up over all pairs until unrelated rows are far beyond the radius, the others for what is left.
+    """
+    lanes = x.shape[1]
+    full = next((m for m in range(1, lanes + 1) if 32 * m - 12 * m**0.5 >= radius), lanes)
+    kind = np.uint8 if full < 4 else np.uint16
+    columns = [np.ascontiguousarray(y[:, k]) for k in range(lanes)]
+    step = max(1, 131_072 // max(1, len(y)))
     for at in range(0, len(x), step):
-        d = np.bitwise_count(x[at : at + step, None, 0] ^ y[None, :, 0])
+        d = np.bitwise_count(x[at : at + step, 0, None] ^ columns[0]).astype(kind, copy=False)
+        for k in range(1, full):
+            d += np.bitwise_count(x[at : at + step, k, None] ^ columns[k])
         i, j = np.nonzero(d <= radius)
-        if x.shape[1] > 1 and len(i):
-            total = d[i, j].astype(np.int64)
-            for lane in range(1, x.shape[1]):
-                total += np.bitwise_count(x[at + i, lane] ^ y[j, lane])
-            i, j = i[total <= radius], j[total <= radius]
-        if len(i):
-            yield i + at, j
+        if not len(i):
+            continue
+        total = d[i, j].astype(np.int64)
+        for k in range(full, lanes):
+            total += np.bitwise_count(x[at + i, k] ^ y[j, k])
+        near = total <= radius
+        if near.any():
+            yield i[near] + at, j[near], total[near]
 
 
 class _Forest:
@@ -126,24 +143,29 @@ def _runs(radius: int, lanes: int):
     """mapInPandas function over rows sorted by key: links inside each run of one key (runs of at most TILE rows)."""
 
     def solve(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pd.DataFrame:
+        counts = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
+        by = np.lexsort((counts, keys))
+        keys, fps, nodes, counts = keys[by], fps[by], nodes[by], counts[by]
         forest = _Forest(len(keys))
         cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         size = np.diff(np.r_[cut, len(keys)])
-        small = np.repeat(size <= 64, size)
-        offset = 1
-        live = np.flatnonzero(small)
+        # buckets of one tile: all of them at once, by distance in the order of counts, until the counts differ too much
+        live, offset = np.flatnonzero(np.repeat(size <= 64, size)), 1
         while len(live):
             live = live[live + offset < len(keys)]
-            live = live[keys[live] == keys[live + offset]]
+            live = live[(keys[live] == keys[live + offset]) & (counts[live + offset] - counts[live] <= radius)]
             if len(live):
                 d = np.bitwise_count(fps[live] ^ fps[live + offset]).sum(axis=1, dtype=np.int64)
                 near = live[d <= radius]
                 forest.join(near, near + offset)
             offset += 1
         for s, n in zip(cut[size > 64], size[size > 64]):
-            x = fps[s : s + n]
-            for i, j in _links(x, x, radius):
-                forest.join(i + s, j + s)
+            for a in range(s, s + n, INNER):
+                b = min(a + INNER, s + n)
+                last = s + int(np.searchsorted(counts[s : s + n], counts[b - 1] + radius, side="right"))
+                for c in range(a, last, INNER):  # tiles whose counts come within the radius
+                    for i, j, _ in _links(fps[a:b], fps[c : min(c + INNER, last)], radius):
+                        forest.join(i + a, j + c)
         a, b = _star(nodes, forest)
         return pd.DataFrame({"a": a, "b": b})
 
@@ -179,7 +201,7 @@ def _tile_pairs(radius: int, lanes: int):
                 y, q = (x, p) if same else _unpack(right, lanes)
                 nodes = p if same else np.concatenate([p, q])
                 forest = _Forest(len(nodes))
-                for i, j in _links(x, y, radius):
+                for i, j, _ in _links(x, y, radius):
                     forest.join(i, j if same else j + len(p))
                 a, c = _star(nodes, forest)
                 yield pd.DataFrame({"a": a, "b": c})
@@ -188,7 +210,7 @@ def _tile_pairs(radius: int, lanes: int):
 
 
 def links(fps: DataFrame, radius: int, width: int = 64, tile: int = TILE) -> DataFrame:
-    """Edges ``(a, b)`` spanning all links of ``fps(fp binary, node long)``; fp distinct, node distinct.
+    """Edges ``(a, b)`` spanning all links of ``fps(fp binary, node long)``; fp distinct; a node of several fps is one node.
 
     Two fingerprints link at ``radius`` or fewer differing bits.  An empty table gives no edges.
     """
@@ -239,38 +261,189 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, width: int
     """
     docs_fp = durable(fingerprints(docs, words, width), "fp")
     nodes = durable(docs_fp.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    if nodes.count() != nodes.select("node").distinct().count():  # a doc_id that has several texts: one node for all
-        merged = docs_fp.where("doc_id IS NOT NULL").select("doc_id", "fp").distinct()
-        extra = merged.join(nodes, "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-        ids = nodes.select("fp", F.xxhash64("fp").alias("node"), F.col("node").alias("doc"))
-        raise_ties = ids.groupBy("node").count().where("count > 1")
-        if not raise_ties.isEmpty():
-            raise ValueError("two fingerprints share a 64-bit node id")
-        back = ids.select("node", "doc")
-        found = links(ids.select("fp", "node"), radius, width, tile)
-        found = found.join(back.select(F.col("node").alias("a"), F.col("doc").alias("x")), "a").join(back.select(F.col("node").alias("b"), F.col("doc").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(extra)
-    else:
-        found = links(nodes, radius, width, tile)
-    label = components(found)
+    label = components(links(nodes, radius, width, tile).unionByName(_several(docs_fp, nodes, ["fp"])))
     of = nodes.join(label, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
     return docs_fp.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _several(rows: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges ``(a, b)`` from each doc_id that has several ``keys`` to the nodes of these."""
+    key = F.struct(*keys)
+    many = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(key) != F.max(key)).alias("many")).where("many").select("doc_id")
+    own = rows.join(durable(many, "several"), "doc_id", "left_semi").select("doc_id", *keys).distinct()
+    return own.join(nodes, keys).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+
+
+# ---- shingle sets
+
+
+def _candidates(radius: int, lanes: int, ratio: float, low: int, high: int):
+    """mapInPandas function over tile pairs: ``(a, b, later)``.
+
+    ``high`` 0: a spanning forest of the pairs within the radius, nearest first.  Else each row's nearest pairs from rank
+    ``low`` to ``high`` whose labels differ; ``later`` rows say that a row has more.  Sizes further apart than ``ratio`` are
+    not compared: the rows of a tile are in order of size.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for left, right, same in zip(b.blob, b.blob2, b.same):
+                x = _cut(left, lanes)
+                y = x if same else _cut(right, lanes)
+                yield _forest_edges(x, y, same) if high == 0 else _slices(x, y, same)
+
+    def _close(x, y, same):
+        for at in range(0, len(x[1]), INNER):
+            n = x[1][at : at + INNER]
+            lo = at if same else int(np.searchsorted(y[1], n[0] * ratio - 1e-6))
+            hi = int(np.searchsorted(y[1], n[-1] / ratio + 1e-6, side="right"))
+            if lo >= hi:
+                continue
+            for i, j, d in _links(x[3][at : at + INNER], y[3][lo:hi], radius):
+                i, j = i + at, j + lo
+                m, k = x[1][i], y[1][j]
+                ok = np.minimum(m, k) >= np.maximum(m, k) * ratio - 1e-6
+                ok &= (i < j) if same else True
+                yield i[ok], j[ok], d[ok]
+
+    def _forest_edges(x, y, same) -> pd.DataFrame:
+        nodes = x[0] if same else np.concatenate([x[0], y[0]])
+        shift, forest, out = 0 if same else len(x[0]), _Forest(len(nodes)), []
+        for i, j, d in _close(x, y, same):
+            by = np.argsort(d, kind="stable")
+            i, j = i[by], j[by] + shift
+            while len(i):
+                a, c = forest.roots(i), forest.roots(j)
+                apart = a != c
+                i, j, a, c = i[apart], j[apart], a[apart], c[apart]
+                if not len(i):
+                    break
+                # each tree takes its first pair: in one strict order these make no circle
+                ends = np.concatenate([a, c])
+                first = np.unique(np.unique(ends, return_index=True)[1] % len(i))
+                out.append((nodes[i[first]], nodes[j[first]]))
+                forest.join(i[first], j[first])
+        a, c = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"a": a, "b": c, "later": False})
+
+    def _slices(x, y, same) -> pd.DataFrame:
+        out, later = [], False
+        for i, j, d in _close(x, y, same):  # a row's pairs may come in several parts: each part is ranked by itself
+            by = np.lexsort((j, d, i))
+            i, j = i[by], j[by]
+            head = np.r_[True, i[1:] != i[:-1]]
+            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(head, np.arange(len(i)), 0))
+            differ = x[2][i] != y[2][j]
+            take = (rank >= low) & (rank < high) & differ
+            out.append((x[0][i[take]], y[0][j[take]]))
+            later |= bool((differ & (rank >= high)).any())
+        a, c = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        if later:
+            a, c = np.append(a, -1), np.append(c, -1)
+        return pd.DataFrame({"a": a, "b": c, "later": np.arange(len(a)) >= len(a) - later})
+
+    return run
+
+
+def _cut(blob: bytes, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, sizes, labels, fingerprints) of a tile, by size."""
+    a = np.frombuffer(blob, dtype=">u8").astype(np.uint64).reshape(-1, lanes + 3)
+    a = a[np.argsort(a[:, 1], kind="stable")]
+    return a[:, 0].view(np.int64), a[:, 1].astype(np.float64), a[:, 2].view(np.int64), np.ascontiguousarray(a[:, 3:])
+
+
+def _tile_joins(rows: DataFrame, radius: int, ratio: float, tile: int) -> DataFrame:
+    """``(blob, blob2, same)``: the tile pairs of ``rows(key, node, n, label, fp, pc)`` that may hold candidates.
+
+    A key's rows are dealt to size classes, and in a class to tiles by population count.  Tiles of the same or
+    neighbouring classes are paired, unless their population counts lie further apart than the radius.
+    """
+    cls = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(ratio)) + 1e-9).cast("int")
+    rows = rows.withColumn("cls", cls)
+    cells = rows.groupBy("key", "cls", "pc").count()
+    up = Window.partitionBy("key", "cls").orderBy("pc").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("key", "cls", "pc", F.col("count").alias("room"), F.coalesce(F.sum("count").over(up), F.lit(0)).alias("before"))
+    cells = durable(cells, "cells")
+    word = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    cell = F.concat(word(F.col("node")), word(F.col("n").cast("long")), word(F.col("label")), F.col("fp"))
+    at = F.floor((F.col("before") + F.pmod(F.xxhash64("fp"), F.col("room"))) / tile).cast("int")
+    dealt = rows.join(small(cells), ["key", "cls", "pc"]).select("key", "cls", at.alias("at"), "pc", cell.alias("cell"))
+    tiles = dealt.groupBy("key", "cls", "at").agg(F.min("pc").alias("lo"), F.max("pc").alias("hi"), F.listagg("cell").alias("blob"))
+    tiles = durable(tiles, "tiles")
+    meta = tiles.select("key", "cls", "at", "lo", "hi")
+    per = meta.groupBy("key", "cls").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("others"))
+    pairs = None
+    for up_ in (0, 1):  # the tiles of a class, one row, reach those of the same and of the next class
+        other = per.select("key", (F.col("cls") - up_).alias("cls"), "others")
+        found = meta.join(other, ["key", "cls"]).select("key", "cls", "at", "lo", "hi", F.explode("others").alias("o"))
+        found = found.where((F.col("o.lo") <= F.col("hi") + radius) & (F.col("o.hi") >= F.col("lo") - radius))
+        found = found.where("o.at >= at") if up_ == 0 else found
+        found = found.select("key", "cls", "at", (F.col("cls") + up_).alias("cls2"), F.col("o.at").alias("at2"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    right = tiles.select("key", F.col("cls").alias("cls2"), F.col("at").alias("at2"), F.col("blob").alias("blob2"))
+    joined = pairs.join(tiles.select("key", "cls", "at", "blob"), ["key", "cls", "at"]).join(right, ["key", "cls2", "at2"])
+    n = max(1, min(4096, rows.sparkSession.sparkContext.defaultParallelism * 4))
+    mixed = F.xxhash64("key", "cls", "at", "cls2", "at2")
+    return joined.select("blob", "blob2", F.expr("cls = cls2 AND at = at2").alias("same"), mixed.alias("to")).repartition(n, "to").drop("to")
+
+
+def groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILARITY, width: int = WIDTH, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """``(doc_id, component_id)`` of ``docs(doc_id, text)``, for each doc_id that is not null: the smallest doc_id reachable
+    over links.  Two sets link if their fingerprints are within the radius and their cosine is ``similarity`` or more.
+
+    1. All fingerprints meet in tiles; a spanning forest of the candidates, nearest pairs first, is checked on whole sets.
+    2. Where a component of candidates has fallen into several components of links, its rows meet again, alone:
+       each row's candidates of another component are checked, the nearest first, in growing numbers, until none is left.
+    Texts of one doc_id link.  Texts without words are one empty set, and link.
+    """
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lanes, ratio = width // 64, (similarity[0] / similarity[1]) ** 2
+    all_ = durable(sketches(docs, words, width), "sketches")
+    ones = sum((F.bit_count(F.conv(F.substring(F.hex("fp"), 8 * k + 1, 8), 16, 10).cast("long")) for k in range(width // 32)), F.lit(0))
+    nodes = all_.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp")).withColumn("pc", ones.cast("int"))
+    nodes = durable(nodes, "nodes")
+    shape = "a long, b long, later boolean"
+    rows = nodes.select(F.lit(0).cast("long").alias("key"), "node", "n", F.lit(0).cast("long").alias("label"), "fp", "pc")
+    found = _tile_joins(rows, radius, ratio, tile).mapInPandas(_candidates(radius, lanes, ratio, 0, 0), shape)
+    tried = durable(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    edges = checked(tried, docs, words, similarity)
+    group = durable(components(tried).select("node", F.col("label").alias("key")), "groups")
+    low, high = 0, 8
+    while True:
+        label = components(edges)
+        now = group.join(label, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
+        now = durable(now, "labels")
+        split = durable(now.groupBy("key").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("key"), "split")
+        if split.isEmpty():
+            break
+        rows = nodes.join(now.join(small(split), "key", "left_semi"), "node").select("key", "node", "n", "label", "fp", "pc")
+        found = _tile_joins(durable(rows, "rows"), radius, ratio, tile).mapInPandas(_candidates(radius, lanes, ratio, low, high), shape)
+        found = durable(found, "found")
+        fresh = found.where("NOT later AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        fresh = durable(fresh, "fresh")
+        edges = edges.unionByName(checked(fresh, docs, words, similarity))
+        if found.where("later").isEmpty():
+            break
+        low, high = high, high * 8
+    label = components(edges.unionByName(_several(all_, nodes.select("s1", "s2", "node"), ["s1", "s2"])))
+    of = nodes.join(label, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component_id"))
+    return all_.join(of, ["s1", "s2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
 def near_dedup(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near-duplicates the one of the smallest doc_id.
 
-    Groups are the components of all pairs whose sets of five-word shingles have a Jaccard similarity of 4/5 or more;
-    pairs are found and compared exactly (``shingle_join``), without fingerprints.
+    Groups are the components of the pairs whose sets of five-word shingles have a cosine, the similarity that SimHash
+    estimates, of 4/5 or more: tiles of fingerprints find the pairs, whole sets decide.
     Documents without words stay as they are, each its own group; rows without doc_id stay too.  Of rows that
     repeat a doc_id one stays.
     """
     blank = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))) == 0
     found = groups(docs.where(~blank).select("doc_id", "text"), words, similarity)
-    lose = durable(found.where("doc_id <> component_id").select("doc_id").distinct(), "lose")
-    once = docs.join(small(lose), "doc_id", "left_anti").select(docs.columns)
+    once = without(docs, durable(found.where("doc_id <> component_id").select("doc_id").distinct(), "lose"))
     again = durable(once.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return once
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*once.columns), *[F.col(c) for c in ("text",)])
-    one = once.join(small(again), "doc_id", "left_semi").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
-    return once.join(small(again), "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    whole = once.select(F.col("doc_id"), F.xxhash64(*quoted(once.columns)).alias("order"), F.struct(*quoted(once.columns)).alias("row"))
+    one = whole.join(small(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.struct("order", "row.text")).alias("row"))
+    return without(once, again).unionByName(one.select("row.*"))

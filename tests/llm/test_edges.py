@@ -4,7 +4,7 @@ import pytest
 
 from colstrata.llm import decontaminate, media, mixing, pii, quality, secrets, sharding, simhash, suffix_dedup, token_rollup
 
-CLASH = ["rid", "h", "k", "size", "spans", "n", "source_size", "shard", "key", "fp", "start", "end", "kind", "p", "w", "node", "label", "u", "v", "copies", "_copies", "match", "slot", "block", "doc", "token"]
+CLASH = ["rid", "h", "k", "size", "spans", "n", "source_size", "shard", "key", "fp", "start", "end", "kind", "p", "w", "node", "u", "v", "copies", "_copies", "match", "slot", "block", "doc", "token", "_rank", "a.b", "row", "order", "label", "__gone", "cls", "at", "s1", "bits", "n_whole"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
 LONG = "the quick brown fox jumps over the lazy dog and runs away. " * 2000
 ROWS = [
