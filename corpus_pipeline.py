@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages over ``documents``, each one operator of ``colstrata.llm`` over all that is left.
 
-Quality and toxicity by the weak-label scorer, one document of each SimHash group, no benchmark passages, sources
-mixed to their weights (documents repeat as often as the mix takes them), and shards by a k-d tree.
+Quality and toxicity by the weak-label scorer, one document of each group of near-duplicates (SimHash tiles, checked on
+whole shingle sets), no document with a benchmark passage, sources mixed to their weights (documents repeat as often as the mix takes them), and shards by a k-d tree.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """One document, of the smallest doc_id, of each group of near-duplicates (five-word shingles, similarity 0.8).
+
+    The similarity is the one that SimHash estimates, the cosine of the shingle sets; every link is checked exactly.
+    """
     return simhash.near_dedup(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is in benchmark windows."""
+    """Documents in which no whole benchmark window of 13 words occurs."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
