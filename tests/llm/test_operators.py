@@ -80,15 +80,27 @@ def test_op1_windows_of_a_chunk():
 
 
 def test_op2(docs, rows):
-    out = sharding.shards(docs, 24, block=2).toPandas()
+    out = sharding.shards(docs, 24, block=2, unit=24.0).toPandas()
     assert len(out) == len(rows) and set(out["shard"]) <= set(range(24))
     text = {i: (t or "").encode() for i, t, *_ in rows}
     assert all(r.size == len(text[r.doc_id]) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id]) for r in out.itertuples())
     for _, part in out.groupby("shard"):
         assert sorted(part.slot) == list(range(len(part)))
-    load = out.groupby("shard")["size"].sum()
+    assert out.groupby([out.doc_id.map(text)])["shard"].nunique().max() == 1  # copies share a shard
+    alone = sharding.shards(docs, 24, unit=0.0).toPandas()
+    load = alone.groupby("shard")["size"].sum()
     assert load.max() - load.min() <= 2.5 * out["size"].max()
-    assert sharding.shards(docs, target_bytes=int(out["size"].sum() / 4) + 1).toPandas()["shard"].nunique() == 4
+    for n in (1, 3, 4):
+        few = sharding.shards(docs, target_bytes=int(out["size"].sum() / n) + 1).toPandas()
+        load = few.groupby("shard")["size"].sum()
+        assert set(few["shard"]) == set(range(n)) and load.max() - load.min() <= 2.5 * out["size"].max()
+
+
+def test_op2_many_leaves_and_a_hot_text(spark):
+    rows = [(i, "same text here" if i % 3 == 0 else f"text {i} " * (i % 7 + 1), "en", "a") for i in range(6000)]
+    out = sharding.shards(spark.createDataFrame(rows, SCHEMA), 200).toPandas()
+    load = out.groupby("shard")["size"].sum()
+    assert len(load) == 200 and load.max() < 1.25 * load.min()
 
 
 def test_op3(docs, rows):
@@ -215,9 +227,10 @@ def test_op8(docs, rows):
     assert len(out) == len(rows) and out.copies.between(0, 3).all()
     by = {s if isinstance(s, str) else None: part for s, part in out.groupby("source", dropna=False)}
     sizes = {s: int(p["size"].sum()) for s, p in by.items()}
-    want = mixing.targets(sizes)
+    want = targets(docs.sparkSession, sizes)
     assert abs(sum(want.values()) - sum(sizes.values())) < 1e-6 and all(want[s] <= 3 * sizes[s] for s in sizes)
     for s, part in by.items():
+        assert set(part.target.round(6)) == {round(want[s], 6)}
         assert abs((part.copies * part["size"]).sum() - want[s]) <= part["size"].max()
         ratio = want[s] / sizes[s]
         assert part.copies[part["size"] > 0].between(np.floor(ratio), np.ceil(ratio)).all()
@@ -228,11 +241,28 @@ def test_op8(docs, rows):
     assert rowsets == collections.Counter({r.doc_id: r.copies for r in out.itertuples() if r.copies})
 
 
-def test_op8_targets_by_hand():
-    assert mixing.targets({"a": 100, "b": 100, "c": 100, None: 100}) == pytest.approx({"a": 400 / 7, "b": 800 / 7, "c": 1200 / 7, None: 400 / 7})
-    capped = mixing.targets({"a": 1000, "b": 1, "c": 10})
+def targets(spark, sizes, weights=None):
+    table = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    return {r.source: r.target for r in mixing.targets(table, weights).collect()}
+
+
+def test_op8_targets_by_hand(spark):
+    assert targets(spark, {"a": 100, "b": 100, "c": 100, None: 100}) == pytest.approx({"a": 400 / 7, "b": 800 / 7, "c": 1200 / 7, None: 400 / 7})
+    capped = targets(spark, {"a": 1000, "b": 1, "c": 10})
     assert capped["b"] == 3 and capped["c"] == 30 and capped["a"] == pytest.approx(978)
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+    assert targets(spark, {}) == {} and targets(spark, {"a": 0}) == {"a": 0.0}
+    assert targets(spark, {"a": 10, "b": 90}, {"a": 3, "b": 1}) == pytest.approx({"a": 30, "b": 70})
+
+
+def test_op8_a_large_document_is_made_up_for(spark):
+    rows = [(i, "w " * 40, "en", s) for i in range(2000) for s in "ab"] + [(9000, "w " * 20_000, "en", "a")]
+    rows += [(7, "same row", "en", "c")] * 300 + [(None, "no id", "en", "c")] * 300
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(5), fan=64).toPandas()
+    for _, part in out.groupby("source"):
+        assert abs((part.copies * part["size"]).sum() - part.target.iat[0]) <= 50
+    again = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3), fan=64).toPandas()
+    key = ["doc_id", "size", "source", "copies"]
+    assert sorted(map(str, out[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
 
 
 def test_op8_expectation_is_kept():
@@ -241,6 +271,10 @@ def test_op8_expectation_is_kept():
     runs = np.array([np.round(mixing.pivot(p, size, rng.random(30))) for _ in range(4000)])
     assert np.abs(runs.mean(axis=0) - p).max() < 0.06
     assert np.abs((runs * size).sum(axis=1) - (p * size).sum()).max() <= 50
+    big = np.array([30.0, 20.0, 10.0])
+    took = [mixing.settle(0.4, big, rng.random(3), 1000.0) for _ in range(4000)]
+    assert np.abs(np.mean([t for t, _ in took], axis=0) - 0.4).max() < 0.03 and abs(np.mean([q for _, q in took]) - 0.4) < 0.01
+    assert max(abs((t * big).sum() + q * 940 - 400) for t, q in took) < 1e-6
 
 
 def test_op9(spark, docs, rows):
