@@ -3,15 +3,16 @@
 1. Every window of SPAN bytes has an anchor, the leftmost gram of least hash in it.  Equal windows have equal
    anchors at equal offsets, so runs of windows with one anchor (regions, some 70 windows long) can only repeat
    each other within an anchor's group.  Regions alone in their group are done: nothing in them repeats.
-2. Equal regions are counted, not moved: a region that occurs twice is covered whole.
-3. The distinct regions of groups with several are compared as texts.  Groups are packed in chunks, whole groups
-   only; in each chunk the suffixes are sorted, and breadth-first backward extension on the Burrows-Wheeler
-   transform derives common prefixes by increasing value and stops at SPAN: what has no value by then shares SPAN
-   bytes with its neighbour.  Windows in such a run are repeated.
-4. A group of more than HOT distinct regions (a passage that very many documents quote) doesn't fit a task; its
-   windows are hashed and counted instead, which is as exact up to equal 128-bit hashes, with no limit on size.
-
-Covered windows give byte ranges per document, and the kept bytes their digest.
+2. Equal regions, by a 128-bit hash of all their bytes, become one region with a weight: they are counted, not moved.
+3. Groups are packed in chunks, whole groups only; in each chunk the suffixes are sorted, and breadth-first backward
+   extension on the Burrows-Wheeler transform derives common prefixes by increasing value and stops at SPAN: what has
+   no value by then shares SPAN bytes with its neighbour.  Windows in a run of weight two or more are repeated.
+4. A group of more than HOT distinct regions (a passage that very many documents quote) doesn't fit a task.  Its regions
+   are cut by the anchor's offset into shorter runs of windows, STEPS long, and grouped by the bytes that all windows of
+   a run have in common; equal windows stay together, different surroundings part.  What is still hot is cut finer; the
+   finest runs are single windows, whose group has one distinct region.
+
+Repeated windows give byte ranges per document, and the kept bytes their digest.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable
+from ._shared import durable, release, small
 
 SPAN = 200
 GRAM = 32
 HOT = 16_384
+STEPS = (64, 16, 4, 1)
 CHUNK = 2 << 20
+#: Keys with over a SPLIT-th of the rows, at most SPLIT of them, are joined by broadcast.
+SPLIT = 50_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,13 +51,13 @@ _UP, _DOWN = _powers(2 * PIECE)
 
 
 def anchors(data: np.ndarray, valid: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(first, count, hash, content hash) of the runs of windows that share an anchor.
+    """(first, count, hash, offset of the anchor from first) of the runs of windows that share an anchor.
 
     A window is ``span`` bytes from a position where ``valid`` holds; its anchor is the leftmost gram of least hash in it.
     Equal windows have equal anchors at equal offsets, so they are in runs of equal hash.
     """
     n = len(data)
-    nothing = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    nothing = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if n < span:
         return nothing
     total = np.zeros(n + 1, np.uint64)
@@ -78,8 +82,7 @@ def anchors(data: np.ndarray, valid: np.ndarray, span: int = SPAN, gram: int = G
     cut = np.flatnonzero(np.r_[True, (np.diff(some) != 1) | (np.diff(at[some]) != 0)])
     first = some[cut]
     count = np.diff(np.r_[cut, len(some)])
-    content = (total[first + count + span - 1] - total[first]) * _DOWN[first]
-    return first, count, h[at[first]], content
+    return first, count, h[at[first]], at[first] - first
 
 
 # ---- suffixes of a chunk
@@ -181,14 +184,14 @@ def repeated_windows(regions: list[bytes], weights: np.ndarray, span: int = SPAN
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, k, a, n, h, r, q) of the regions of each text: windows a to a + n - 1, the anchor's hash h, and two
-    hashes r, q of the region's bytes."""
+    """Rows (d, k, a, n, o, h, r, q) of the regions of each text: windows a to a + n - 1, the anchor's hash h and its
+    offset o from a, and r, q, a hash of the region's bytes."""
     for b in batches:
-        ids, keys, texts = b.column(0), b.column(1), b.column(2).to_pylist()
+        ids, keys, texts = b.column(0), b.column(1), b.column(2)
         held: list[tuple[int, int, bytes]] = []  # (row, offset in its text, bytes): pieces of at most PIECE windows
         size = 0
         for i, t in enumerate(texts):
-            raw = (t or "").encode("utf-8", "surrogatepass")
+            raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
             for at in range(0, max(0, len(raw) - SPAN + 1), PIECE):
                 piece = raw[at : at + PIECE + SPAN - 1]
                 if held and size + len(piece) > PIECE:
@@ -200,39 +203,40 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _found(held, ids, keys)
 
 
+def _digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, 2) int64: 128-bit hashes of slices."""
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]), "<i8").reshape(-1, 2)
+
+
 def _found(held: list[tuple[int, int, bytes]], ids: pa.Array, keys: pa.Array) -> pa.RecordBatch:
     sizes = np.array([len(p) for _, _, p in held])
     end = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(p for _, _, p in held), np.uint8)
+    joined = b"".join(p for _, _, p in held)
+    data = np.frombuffer(joined, np.uint8)
     valid = np.ones(len(data), bool)
     for e in end.tolist():
         valid[max(0, e - SPAN + 1) : e] = False
-    first, count, h, r = anchors(data, valid)
+    first, count, h, offset = anchors(data, valid)
     which = np.searchsorted(end, first, side="right")
     a = first - (end - sizes)[which] + np.array([o for _, o, _ in held])[which]
     row = pa.array(np.array([i for i, _, _ in held])[which])
-    # a second hash, of bytes at the region's quarters, makes accidents of the first harmless
-    width = count + SPAN - 1
-    q = np.zeros(len(first), np.int64)
-    for part in range(4):
-        at = first + width * part // 4
-        for k in range(8):
-            q = q * 257 + data[np.minimum(at + k, first + width - 1)]
-    return pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), pa.array(a, pa.int64()), pa.array(count.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(q)], ["doc_id", "k", "a", "n", "h", "r", "q"])
+    rq = _digests(joined, first, first + count + SPAN - 1)
+    return pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), pa.array(a, pa.int64()), pa.array(count.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(rq[:, 0]), pa.array(rq[:, 1])], ["d", "k", "a", "n", "o", "h", "r", "q"])
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, k, text, cuts array of (a, n, h, c)) to one row a region with its bytes."""
+    """Rows (d, k, text, cuts array of (a, n, o, h, c)) to one row a region with its bytes."""
     for b in batches:
         for at in range(0, b.num_rows, 64):
             part = b.slice(at, 64)
-            out: dict[str, list] = {x: [] for x in ("doc_id", "k", "a", "n", "h", "c", "data")}
-            for doc, k, t, cuts in zip(*(part.column(i).to_pylist() for i in range(4))):
+            out: dict[str, list] = {x: [] for x in ("d", "k", "a", "n", "o", "h", "c", "data")}
+            for d, k, t, cuts in zip(*(part.column(i).to_pylist() for i in range(4))):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 for x in cuts:
-                    for name, v in (("doc_id", doc), ("k", k), ("a", x["a"]), ("n", x["n"]), ("h", x["h"]), ("c", x["c"]), ("data", raw[x["a"] : x["a"] + x["n"] + SPAN - 1])):
+                    for name, v in (("d", d), ("k", k), ("a", x["a"]), ("n", x["n"]), ("o", x["o"]), ("h", x["h"]), ("c", x["c"]), ("data", raw[x["a"] : x["a"] + x["n"] + SPAN - 1])):
                         out[name].append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
 
@@ -242,13 +246,14 @@ def _ranges(hit: np.ndarray, a: int) -> list[tuple[int, int]]:
 
 
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by h: whole groups in chunks of about CHUNK bytes; ranges of the regions that occur once."""
+    """Rows sorted by h: whole groups in chunks of about CHUNK bytes; ranges of the repeated windows of each region, where
+    its weight is 1: of heavier regions all windows are repeated."""
 
     def chunk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["h", "data"])
         hits = repeated_windows(rows.data.tolist(), rows.c.to_numpy())
-        found = [(d, k, *x) for d, k, a, c, hit in zip(rows.doc_id, rows.k, rows.a, rows.c, hits) if c == 1 and hit.any() for x in _ranges(hit, a)]
-        return pd.DataFrame(found, columns=["doc_id", "k", "s", "e"]).astype({"doc_id": "Int64", "k": "int64", "s": "int64", "e": "int64"})
+        found = [(d, k, *x) for d, k, a, c, hit in zip(rows.d.tolist(), rows.k.tolist(), rows.a.tolist(), rows.c, hits) if c == 1 and hit.any() for x in _ranges(hit, a)]
+        return pd.DataFrame(found, columns=["d", "k", "s", "e"]).astype("int64")
 
     rest: list[pd.DataFrame] = []
     size = 0
@@ -267,47 +272,81 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield chunk(pd.concat(rest, ignore_index=True))
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row a window of hot groups: its 128-bit hash, where it is and how often its region occurs."""
-    for b in batches:
-        for at in range(0, len(b), 256):
-            rows = []
-            for d, k, a, n, c, data in b.iloc[at : at + 256][["doc_id", "k", "a", "n", "c", "data"]].itertuples(index=False):
-                for i in range(n):
-                    w = xxhash.xxh3_128_digest(data[i : i + SPAN])
-                    rows.append((int.from_bytes(w[:8], "big", signed=True), int.from_bytes(w[8:], "big", signed=True), d, k, a + i, c))
-            yield pd.DataFrame(rows, columns=["w1", "w2", "doc_id", "k", "s", "c"]).astype({"doc_id": "Int64"})
+def _finer(step: int):
+    """mapInPandas function: regions of hot groups cut into runs of windows whose anchor offsets share offset // step; the
+    new group is told by the old, the offsets and the bytes in all windows of the run's offsets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                rows = []
+                for h, d, k, a, n, o, c, data in b.iloc[at : at + 256][["h", "d", "k", "a", "n", "o", "c", "data"]].itertuples(index=False):
+                    i = 0
+                    while i < n:  # window i has the anchor at offset o - i
+                        cell = (o - i) // step
+                        j = min(n, o - cell * step + 1)
+                        core = data[o - cell * step : o - (cell * step + step - 1) + SPAN] if step > 1 else data[i : i + SPAN]
+                        own = xxhash.xxh3_64_intdigest(h.to_bytes(8, "little", signed=True) + cell.to_bytes(4, "little") + core)
+                        part = data[i : j + SPAN - 1]
+                        r = xxhash.xxh3_128_digest(part)
+                        rows.append((own - (1 << 63), d, k, a + i, j - i, o - i, c, part, int.from_bytes(r[:8], "little", signed=True), int.from_bytes(r[8:], "little", signed=True)))
+                        i = j
+                yield pd.DataFrame(rows, columns=["h", "d", "k", "a", "n", "o", "c", "data", "r", "q"])
+
+    return run
+
+
+def _joined(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Left semi join of ``rows`` with ``keyed(*on, rows)``, distinct keys and how often ``rows`` has them.  Keys of over
+    total / SPLIT rows, at most SPLIT, are broadcast, so their rows stay where they are; the others are shuffled."""
+    bound = max(1000, total // SPLIT)
+    heavy = durable(keyed.where(F.col("rows") > bound).select(*on), "heavy")
+    if heavy.isEmpty():
+        return rows.join(keyed, on, "left_semi")
+    light = rows.join(F.broadcast(heavy), on, "left_anti").join(keyed.where(F.col("rows") <= bound), on, "left_semi")
+    return light.unionByName(rows.join(F.broadcast(heavy), on, "left_semi"))
 
 
 def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``(doc_id, k, s, e)``: byte ranges (end exclusive) of ``docs(doc_id, text)`` in which every string of SPAN bytes
-    occurs elsewhere; k is a hash of the text.  Ranges may overlap or repeat."""
-    base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text")
-    all_ = durable(base.mapInArrow(_regions, "doc_id long, k long, a long, n int, h long, r long, q long"), "regions")
-    # written, so that the join below has plain exchanges on both sides and adaptive execution can split hot anchors
-    again = durable(all_.groupBy("h").count().where("count > 1").select("h"), "again")
-    shared = durable(all_.join(again, "h", "left_semi"), "shared")
+    """``(d, k, s, e)``: byte ranges (end exclusive) of ``docs(doc_id, text)`` in which every string of SPAN bytes
+    occurs elsewhere; d is the doc_id (null: -1) and k a hash of the text.  Ranges may overlap or repeat."""
+    base = docs.select(*_key(), "text")
+    all_ = durable(base.mapInArrow(_regions, "d long, k long, a long, n int, o int, h long, r long, q long"), "regions")
+    total = all_.count()
+    again = durable(all_.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "again")
+    shared = durable(_joined(all_, again, ["h"], total), "shared")
+    release(all_, again)
     region = ["h", "n", "r", "q"]
-    kinds = durable(shared.groupBy(*region).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "k", "a")).alias("at")), "kinds")
-    groups = durable(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "groups")
-    whole = shared.join(kinds.where("c > 1").select(*region), region, "left_semi")  # both written: hot regions are split
-    out = whole.select("doc_id", "k", F.col("a").alias("s"), (F.col("a") + F.col("n") + (SPAN - 1)).alias("e"))
-    pool = kinds.join(groups, "h").select("at.*", "n", "h", "c", "m")
-    cuts = pool.groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "n", "h", "c")).alias("cuts"))
-    left, right = base.alias("t"), cuts.alias("c")
-    texts = left.join(right, F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.k") == F.col("c.k"))).select("t.doc_id", "t.k", "t.text", "c.cuts")
-    data = texts.mapInArrow(_bytes, "doc_id long, k long, a long, n int, h long, c long, data binary")
-    big = groups.where(F.col("m") > hot).select("h")
-    schema = "doc_id long, k long, s long, e long"
-    if big.isEmpty():
-        return out.unionByName(data.repartition("h").sortWithinPartitions("h").mapInPandas(_solve, schema))
-    data = durable(data, "pool")
-    small_ = data.join(big, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInPandas(_solve, schema)
-    seen = data.join(big, "h", "left_semi").dropDuplicates(["h", "data"])
-    cells = durable(seen.mapInPandas(_windows, "w1 long, w2 long, doc_id long, k long, s long, c long"), "windows")
-    twice = cells.groupBy("w1", "w2").agg(F.sum("c").alias("x")).where("x > 1").select("w1", "w2")
-    single = cells.where("c = 1").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "k", "s", (F.col("s") + SPAN).alias("e"))
-    return out.unionByName(small_).unionByName(single)
+    kinds = durable(shared.groupBy(*region).agg(F.count("*").alias("c"), F.min(F.struct("d", "k", "a", "o")).alias("at")), "kinds")
+    whole = _joined(shared, kinds.where("c > 1").select(*region, F.col("c").alias("rows")), region, total)
+    out = whole.select("d", "k", F.col("a").alias("s"), (F.col("a") + F.col("n") + (SPAN - 1)).alias("e"))
+    pool = kinds.select("at.d", "at.k", "at.a", "n", "at.o", "h", "c")
+    cuts = pool.groupBy("d", "k").agg(F.collect_list(F.struct("a", "n", "o", "h", "c")).alias("cuts"))
+    data = base.join(cuts, ["d", "k"]).select("d", "k", "text", "cuts").mapInArrow(_bytes, "d long, k long, a long, n int, o int, h long, c long, data binary")
+    schema = "d long, k long, s long, e long"
+    solved = lambda rows: rows.repartition("h").sortWithinPartitions("h").select("h", "d", "k", "a", "c", "data").mapInPandas(_solve, schema)
+    many = durable(kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("h"), "hot")  # few: each has over ``hot`` regions
+    for step in STEPS:
+        if many.isEmpty():
+            return out.unionByName(solved(data))
+        data = durable(data, "pool")
+        out = out.unionByName(solved(data.join(small(many), "h", "left_anti")))
+        fine = data.join(small(many), "h", "left_semi").dropDuplicates(["h", "data"]).mapInPandas(_finer(step), "h long, d long, k long, a long, n int, o int, c long, data binary, r long, q long")
+        fine = durable(fine, "fine")
+        # runs that have become equal are one again; those of weight 1 in ``fine`` have their ranges to give
+        merged = fine.groupBy(*region).agg(F.sum("c").alias("w"), F.count("*").alias("rows"), F.min(F.struct("d", "k", "a", "o", "c", "data")).alias("at"))
+        merged = durable(merged.select(*region, "w", "rows", "at.*"), "merged")
+        twice = _joined(fine, merged.where("w > 1").select(*region, "rows"), region, fine.count())
+        out = out.unionByName(twice.where("c = 1").select("d", "k", F.col("a").alias("s"), (F.col("a") + F.col("n") + (SPAN - 1)).alias("e")))
+        data = merged.select("d", "k", "a", "n", "o", "h", F.col("w").alias("c"), "data")
+        many = durable(merged.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("h"), "hot")
+    # single windows: a group is one window, unless 64-bit group hashes meet; its weight says all
+    return out
+
+
+def _key() -> list[Column]:
+    """A row's key: its id, -1 for null, and a hash of its text; rows of one key have one text and one result."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")]
 
 
 def _cut(raw: bytes, ranges: list[tuple[int, int]] | None) -> tuple[int, int, bytes]:
@@ -335,7 +374,7 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     bytes or more lose all of it, all of them.  Texts shorter than SPAN lose nothing.  An empty table gives no rows;
     other columns are ignored.  ``kept`` need not be UTF-8, as a cut may fall inside a character.
     """
-    ranges = repeated_ranges(docs, hot).groupBy("doc_id", "k").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+    ranges = repeated_ranges(docs, hot).groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
     ranges = durable(ranges, "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,6 +388,5 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
-    t, r = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text").alias("t"), ranges.alias("r")
-    joined = t.join(r, F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.k") == F.col("r.k")), "left").select(F.col("t.doc_id").cast("long"), "t.text", "r.ranges")
+    joined = docs.select(F.col("doc_id").cast("long"), "text", *_key()).join(ranges, ["d", "k"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -65,6 +65,32 @@ def test_op1(docs, rows, hot):
     assert sum(r.n_removed for r in got.values()) > 0
 
 
+def test_op1_ids_beside_nulls(spark):
+    rng = random.Random(2)
+    shared = prose(rng, 70)[:489]
+    rows = [(2**60 + 1, "a " * 30 + "| " + shared), (None, "b " * 20 + "- " + shared), (None, None), (2**60 + 3, prose(rng, 80))]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got.values()) == [0, 0, 490, 490] and got[2**60 + 1, 62 + 489] == 490
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 20])
+def test_op1_a_passage_in_all_documents(spark, hot):
+    """A hot anchor: one passage in many surroundings, some of which repeat in part."""
+    rng = random.Random(12)
+    passage = prose(rng, 60)[:300]
+    ends = [prose(rng, 30)[:150] for _ in range(6)]
+    rows = [(i, prose(rng, 8) + rng.choice(ends)[-rng.randint(1, 150) :] + passage + rng.choice(ends)[: rng.randint(1, 150)] + prose(rng, 8)) for i in range(150)]
+    raws = {i: t.encode() for i, t in rows}
+    seen = collections.Counter(r[k : k + 200] for r in raws.values() for k in range(len(r) - 199))
+    got = {r.doc_id: r for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot).collect()}
+    for i, raw in raws.items():
+        cover = np.zeros(len(raw), bool)
+        for k in range(len(raw) - 199):
+            if seen[raw[k : k + 200]] > 1:
+                cover[k : k + 200] = True
+        assert got[i].kept_sha256 == hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~cover])).hexdigest(), i
+
+
 def test_op1_windows_of_a_chunk():
     rng = random.Random(1)
     for alphabet in (b"ab", b"abcdefgh"):
