@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The second tokenizer version of op5.
+SECOND = "byte_bpe_multi_50k"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,18 +42,37 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after two batches over all documents: insert every document, then delete those that repeat a text."""
+    """Totals after each of four batches over all documents (column ``after``).
+
+    Insert every document (``load``), delete those that repeat a text (``repeats``), revise those that hold runs of white
+    space by the counts of their cleaned text (``cleaned``), insert what is distinct under a second tokenizer version
+    (``second``).  A batch that comes again changes nothing.
+    """
     import uuid
 
-    from ._shared import scratch
+    from ._shared import durable, scratch
     from .token_rollup import Rollup, repeats
 
     docs = table(spark, sf_dir, "documents")
     rollup = Rollup(spark, scratch(spark, f"rollup-{uuid.uuid4().hex}"))
-    rollup.insert("load", docs)
-    rollup.insert("load", docs)  # a retry: committed already, changes nothing
-    rollup.delete("repeats", repeats(docs))
-    return rollup.totals()
+    again = repeats(docs)
+    once = docs.join(again, "doc_id", "left_anti")
+    plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    cleaned = once.select("doc_id", plain.alias("text"), "source", "lang", (plain != F.col("text")).alias("differs")).where("differs").drop("differs")
+    after = []
+    for batch, change in (
+        ("load", lambda b: rollup.insert(b, docs)),
+        ("repeats", lambda b: rollup.delete(b, again)),
+        ("cleaned", lambda b: rollup.revise(b, cleaned)),
+        ("second", lambda b: rollup.insert(b, once, SECOND)),
+    ):
+        change(batch)
+        change(batch)  # a retry: committed already
+        after.append(rollup.totals().withColumn("after", F.lit(batch)))
+    out = after[0]
+    for more in after[1:]:
+        out = out.unionByName(more)
+    return durable(out, "totals")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

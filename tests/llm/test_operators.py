@@ -169,7 +169,7 @@ def test_op4(docs, rows):
 
 def test_op5(spark, docs, rows, tmp_path):
     plain = {r.doc_id: r.n_tokens for r in token_rollup.count_tokens(docs).collect()}
-    coder = token_rollup._encoding("x", open(token_rollup.RANKS, "rb").read())
+    coder = token_rollup._encoding("x", token_rollup.vocabulary(spark))
     assert plain == {i: len(coder.encode_ordinary(t or "")) for i, t, *_ in rows}
     roll = token_rollup.Rollup(spark, f"file://{tmp_path}/roll")
     assert roll.totals().count() == 0
@@ -177,7 +177,7 @@ def test_op5(spark, docs, rows, tmp_path):
     gone = docs.where("doc_id < 40").select("doc_id")
     assert roll.delete("two", gone) and not roll.delete("two", gone)
     assert roll.revise("three", spark.createDataFrame([(50, "entirely new words", "en", "b"), (51, None, "en", "b")], SCHEMA))
-    assert roll.insert("four", docs.where("doc_id = 60"), tokenizer="other")
+    assert roll.insert("four", docs.where("doc_id = 60"), tokenizer="other", ranks="/opt/tokenizers/byte_bpe_50k.tiktoken")
     want = collections.Counter()
     for i, t, lang, source in rows:
         if i >= 40 and i not in (50, 51):
@@ -186,9 +186,68 @@ def test_op5(spark, docs, rows, tmp_path):
             want[source, lang, "other"] += plain[i]
     want["b", "en", "byte_bpe_50k"] += len(coder.encode_ordinary("entirely new words"))
     assert {(r.source, r.lang, r.tokenizer): r.n_tokens for r in roll.totals().collect()} == dict(want)
+    before = set(map(tuple, roll.totals().collect()))
+    roll.compact()
+    assert len(roll._state()[1]) == 1 and set(map(tuple, roll.totals().collect())) == before and roll.has("one") and not roll.insert("one", docs)
+    assert roll.delete("five", docs.select("doc_id")) and roll.totals().count() == 0
+    with pytest.raises(FileNotFoundError, match="spark.colstrata.tokenizers"):
+        token_rollup.count_tokens(docs, "no such")
     assert {r.doc_id for r in token_rollup.repeats(docs).collect()} == {i for i, t, *_ in rows if any((u or "") == (t or "") for u in [x[1] for x in rows[:i]])}
 
 
+def test_op5_edges_and_two_writers(spark, tmp_path):
+    rows = [(1, "some words", "en", "a"), (1, "more words", "en", "a"), (None, "no id", None, None), (2, None, "en", "b"), (3, "", "en", "b")]
+    docs, none = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)
+    roll = token_rollup.Rollup(spark, f"file://{tmp_path}/roll")
+    assert roll.insert("none", none) and roll.totals().count() == 0
+    assert roll.insert("all", docs) and roll.delete("nothing", none.select("doc_id")) and roll.revise("none revised", none)
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in roll.totals().collect()}
+    assert got[None, None] == (1, 2) and got["b", "en"] == (2, 0) and got["a", "en"] == (2, 4)
+    assert roll.revise("again", spark.createDataFrame([(1, "word", "en", "a"), (None, "no id", None, None)], SCHEMA))
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in roll.totals().collect()}
+    assert got["a", "en"] == (1, 1) and got[None, None] == (2, 4)
+    other, state = token_rollup.Rollup(spark, roll.path), roll._state
+
+    def late():  # another writer commits after this one has read the state
+        seen = state()
+        roll._state = state
+        other.delete("theirs", spark.createDataFrame([(1,)], "doc_id long"))
+        return seen
+
+    assert not roll.has("ours")
+    roll._state = late
+    assert roll._commit("ours", lambda parts: roll._negated(parts, spark.createDataFrame([(1,), (2,)], "doc_id long")))
+    got = {(r.source, r.lang): r.n_docs for r in roll.totals().collect()}
+    assert got == {(None, None): 2, ("b", "en"): 1} and roll._state()[2][-2:] == ["theirs", "ours"]
+
+
+def test_op5_query_against_plain_counts(spark, sf):
+    from colstrata.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    one, two = (token_rollup._encoding(n, token_rollup.vocabulary(spark, n)) for n in (token_rollup.TOKENIZER, queries.SECOND))
+    want = collections.defaultdict(lambda: [0, 0, 0])
+
+    def add(after, d, tokenizer, coder, text):
+        for x, v in enumerate((1, len(text.encode()), len(coder.encode_ordinary(text)))):
+            want[after, d.source, d.lang, tokenizer][x] += v
+
+    first = {}
+    for d in sorted(docs, key=lambda d: d.doc_id):
+        first.setdefault(d.text or "", d.doc_id)
+    for d in docs:
+        text, once = d.text or "", first[d.text or ""] == d.doc_id
+        clean = re.sub(r"[\x20\x09-\x0D]+", " ", text).strip(" ")
+        add("load", d, token_rollup.TOKENIZER, one, text)
+        if once:
+            add("repeats", d, token_rollup.TOKENIZER, one, text)
+            for after in ("cleaned", "second"):
+                add(after, d, token_rollup.TOKENIZER, one, clean)
+            add("second", d, queries.SECOND, two, text)
+    got = {(r.after, r.source, r.lang, r.tokenizer): [r.n_docs, r.n_bytes, r.n_tokens] for r in queries.op5_token_rollup(spark, sf).collect()}
+    assert got == dict(want)
+
+
 def luhn(d):
     return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
