@@ -32,9 +32,10 @@ def encode(data: bytes) -> bytes:
 
 def decode(media: bytes) -> np.ndarray:
     """Samples (rows, 64) of uint8."""
-    out, at = [], 0
+    out, at, view = [], 0, memoryview(media)
     while at < len(media):
-        pixels, n = webp.decode(media[at:] if at else media)
+        n = 8 + int.from_bytes(view[at + 4 : at + 8], "little")  # one frame's file is copied, not all that follow
+        pixels, n = webp.decode(bytes(view[at : at + n]))
         out.append(((pixels >> 8) & 255).astype(np.uint8))
         at += n
     return np.concatenate(out) if out else np.zeros((0, WIDTH), np.uint8)
@@ -64,11 +65,12 @@ def store(docs: DataFrame) -> DataFrame:
                 media = [encode(p) for p, _ in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def load(stored: DataFrame) -> DataFrame:
-    """``(doc_id, n_bytes, payload binary, feature, media)`` of a table made by ``store``: the stored bytes decoded."""
+    """``(doc_id, n_bytes, payload binary, feature, media)`` of a table made by ``store``: the stored bytes decoded.  Null ids, repeated rows and an empty table are
+    as in the stored table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,19 +1,22 @@
 """Lossless WebP (VP8L) in numpy: an encoder for 8-bit samples and a decoder for the whole format.
 
 The decoder reads prefix codes, back-references, the colour cache and meta prefix codes, and inverts the
-predictor, cross-colour, subtract-green and palette transforms.  Streams whose only coded channel is green and
-that have no back-references (such as the encoder writes) are decoded with whole-array operations: every bit
-position gets the length of the code that would start there, and doubled jumps along these lengths give the
-positions that really start a code.
-
-The encoder stores one sample per pixel in the green channel, with a prefix code fitted to the samples; up to 16
-distinct values are stored through a palette, with 2, 4 or 8 pixels bundled in one.
+predictor, cross-colour, subtract-green and palette transforms.  Streams whose only coded channel is green (such as the
+encoder writes) are decoded with whole-array operations: every bit position gets the length of the code, or of the code,
+reference and extra bits, that would start there, and jumps along these lengths give the positions that really start
+one.  Predictors are inverted along slanted fronts, all pixels of a front at once.
+
+The encoder stores one sample per pixel in the green channel.  Up to 16 distinct values are stored through a palette,
+with 2, 4 or 8 pixels bundled in one; else samples are predicted from the left or from above where that
+lowers their entropy.  Back-references are written where samples repeat enough to pay.  One channel has nothing that a
+cross-colour transform or a colour cache could save, so neither is written.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+import zlib
 
 import numpy as np
 
@@ -116,17 +119,110 @@ def put_code(w: BitWriter, lengths: np.ndarray) -> None:
     w.put(int.from_bytes((nibbles[::2] | nibbles[1::2] << 4).tobytes(), "little"), 4 * n)
 
 
+def _laid(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits of the values, each in its number of bits, lowest first."""
+    end = np.cumsum(sizes)
+    out, at = np.zeros(int(end[-1]) if len(end) else 0, np.uint8), end - sizes
+    for b in range(int(sizes.max(initial=0))):
+        some = np.flatnonzero(sizes > b)
+        out[at[some] + b] = (values[some] >> b) & 1
+    return out
+
+
 def _pack(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Bits of the coded symbols; none if there is a single symbol."""
     if np.count_nonzero(lengths) < 2:
         return np.zeros(0, np.uint8)
-    codes = _codes(lengths).astype(np.uint16)
-    n, c = lengths[symbols], codes[symbols]
-    end = np.cumsum(n)
-    out, at = np.zeros(int(end[-1]), np.uint8), end - n
-    for b in range(int(lengths.max())):
-        some = np.flatnonzero(n > b)
-        out[at[some] + b] = (c[some] >> b) & 1
+    return _laid(_codes(lengths).astype(np.uint16)[symbols], lengths[symbols])
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, their number) of lengths or distances from 1."""
+    v = values - 1
+    high = np.zeros(len(v), np.int64)
+    for b in range(1, 21):
+        high += v >> b > 0
+    extra = np.maximum(high - 1, 0)
+    symbol = np.where(v < 4, v, 2 * high + ((v >> extra) & 1))
+    return symbol, np.where(v < 4, 0, v & ((1 << extra) - 1)), np.where(v < 4, 0, extra)
+
+
+def references(flat: np.ndarray, least: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of a parse of the samples: literals have length 1 and distance 0; references go to the last
+    place with the same ``least`` samples and as far as that distance holds."""
+    n = len(flat)
+    wide = np.zeros(n + least, np.uint64)
+    wide[:n] = flat
+    key = np.zeros(n, np.uint64)
+    for k in range(least):
+        key = (key << np.uint64(8)) | wide[k : k + n]
+    order = np.argsort(key[: max(0, n - least + 1)], kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
+    distance = np.zeros(n + 1, np.int64)
+    distance[order[same]] = order[same] - order[same - 1]
+    turn = np.append(np.flatnonzero(distance[1:] != distance[:-1]), n)
+    run = turn[np.searchsorted(turn, np.arange(n))] - np.arange(n) + 1  # places from here on with this distance
+    length = np.where(distance[:n] > 0, np.minimum(run + least - 1, 4096), 1)
+    hop, at, starts = (np.arange(n) + length).tolist(), 0, []
+    while at < n:
+        starts.append(at)
+        at = hop[at]
+    start = np.array(starts, np.int64)
+    return start, length[start], distance[start]
+
+
+def _body(flat: np.ndarray, constant: int, refer: bool) -> tuple[BitWriter, np.ndarray]:
+    """(prefix codes, coded samples) of a stream with or without references."""
+    w = BitWriter()
+    if not refer:
+        lengths = code_lengths(np.bincount(flat, minlength=LITERALS + LENGTHS))
+        put_code(w, lengths)
+        _put_single(w, 0), _put_single(w, 0), _put_single(w, constant), _put_single(w, 0)
+        return w, _pack(flat, lengths)
+    start, length, distance = references(flat)
+    copy = distance > 0
+    l_sym, l_extra, l_bits = _prefixed(length)
+    d_sym, d_extra, d_bits = _prefixed(np.where(copy, distance + 120, 1))
+    symbol = np.where(copy, LITERALS + l_sym, flat[start])
+    lengths = code_lengths(np.bincount(symbol, minlength=LITERALS + LENGTHS))
+    far = code_lengths(np.bincount(d_sym[copy], minlength=DISTANCES)) if copy.any() else np.eye(1, DISTANCES, dtype=np.int64)[0]
+    put_code(w, lengths)
+    _put_single(w, 0), _put_single(w, 0), _put_single(w, constant)
+    put_code(w, far)
+    none = np.zeros(len(start), np.int64)
+    one, single = np.count_nonzero(lengths) < 2, np.count_nonzero(far) < 2
+    values = np.stack([_codes(lengths)[symbol], l_extra, _codes(far)[d_sym], d_extra], axis=1)
+    sizes = np.stack([none if one else lengths[symbol], np.where(copy, l_bits, 0), none if single else np.where(copy, far[d_sym], 0), np.where(copy, d_bits, 0)], axis=1)
+    return w, _laid(values.ravel(), sizes.ravel())
+
+
+def _repetitive(flat: np.ndarray) -> bool:
+    """Whether references are likely to pay: a cheap compressor gains a fifth by them."""
+    raw = flat.tobytes()
+    size = []
+    for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_HUFFMAN_ONLY):
+        z = zlib.compressobj(1, zlib.DEFLATED, -15, 8, strategy)
+        size.append(len(z.compress(raw) + z.flush()))
+    return size[0] < 0.8 * size[1]
+
+
+def _entropy(samples: np.ndarray) -> float:
+    """Bits of the samples under an ideal code of their own."""
+    c = np.bincount(samples.ravel(), minlength=1)
+    c = c[c > 0]
+    return float(-(c * np.log2(c / samples.size)).sum())
+
+
+def _residual(samples: np.ndarray, mode: int) -> np.ndarray:
+    """Samples less their prediction from the left (1) or from above (2); the first row has the left, the first column the
+    above."""
+    out = samples.copy()
+    if mode == 1:
+        out[:, 1:] -= samples[:, :-1]
+        out[1:, 0] -= samples[:-1, 0]
+    else:
+        out[1:] -= samples[:-1]
+        out[0, 1:] -= samples[0, :-1]
     return out
 
 
@@ -168,13 +264,24 @@ def encode(samples: np.ndarray) -> bytes:
         constant = 0
     else:
         constant = 255
+        plain = _entropy(samples)
+        for mode in (1, 2):
+            less = _residual(samples, mode)
+            if _entropy(less) < plain - 200:  # bits that the transform's own data take, and some
+                w.put(1, 1), w.put(0, 2), w.put(7, 3)  # predictor, in blocks of 512 pixels
+                w.put(0, 1)  # its blocks' modes: one symbol for all of them, which takes no bits
+                _put_single(w, mode), _put_single(w, 0), _put_single(w, 0), _put_single(w, 255), _put_single(w, 0)
+                samples, constant = less, 0
+                break
     w.put(0, 1)  # no more transforms
     w.put(0, 1), w.put(0, 1)  # no colour cache, one group of codes
     flat = samples.ravel()
-    lengths = code_lengths(np.bincount(flat, minlength=LITERALS + LENGTHS))
-    put_code(w, lengths)
-    _put_single(w, 0), _put_single(w, 0), _put_single(w, constant), _put_single(w, 0)
-    return _file(np.packbits(np.concatenate([w.bits(), _pack(flat, lengths)]), bitorder="little").tobytes())
+    codes, coded = _body(flat, constant, False)
+    if _repetitive(flat):
+        other, shorter = _body(flat, constant, True)
+        if other.n + len(shorter) < codes.n + len(coded):
+            codes, coded = other, shorter
+    return _file(np.packbits(np.concatenate([w.bits(), codes.bits(), coded]), bitorder="little").tobytes())
 
 
 # ---- reading
@@ -307,6 +414,70 @@ def _green_only(r: BitReader, code: Code, n: int) -> np.ndarray:
     return code.sym[window[at]]
 
 
+def _green_references(r: BitReader, green: Code, far: Code, n: int, width: int) -> np.ndarray:
+    """n samples of a stream of literals and references from the reader's place on, with whole-array operations up to the
+    copying of what is referred to."""
+    raw = np.frombuffer(r.data[r.at >> 3 :] + bytes(12), np.uint8).astype(np.uint64)
+    word = raw[:-7].copy()
+    for k in range(1, 8):
+        word |= raw[k : len(raw) - 7 + k] << np.uint64(8 * k)
+    peek = (word[:, None] >> np.arange(8, dtype=np.uint64)).astype(np.uint32).ravel()  # 32 bits from every bit on
+    size = len(peek)
+
+    def look(code: Code, at: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        bits = peek if at is None else peek[np.minimum(at, size - 1)]
+        if code.one is not None:
+            return np.full(len(bits), code.one, np.int64), np.zeros(len(bits), np.int64)
+        bits = bits & np.uint32((1 << code.width) - 1)
+        return code.sym[bits].astype(np.int64), code.len[bits].astype(np.int64)
+
+    def prefixed(symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+        low = peek[np.minimum(at, size - 1)].astype(np.int64) & ((1 << extra) - 1)
+        return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + low) + 1, at + extra
+
+    symbol, step = look(green, None)
+    jump = np.arange(size) + step
+    copy = np.flatnonzero(symbol >= LITERALS)
+    length, at = prefixed(symbol[copy] - LITERALS, jump[copy])
+    d_symbol, d_step = look(far, at)
+    distance, at = prefixed(d_symbol, at + d_step)
+    jump[copy] = at
+    made = np.ones(size, np.int64)
+    made[copy] = length
+    p, done, places = r.at & 7, 0, []
+    jumps, mades = jump.tolist(), made.tolist()
+    while done < n:
+        if p >= size - 32:
+            raise FormatError("the data end too early")
+        places.append(p)
+        done += mades[p]
+        p = jumps[p]
+    r.at += p - (r.at & 7)
+    if r.at > r.end:
+        raise FormatError("the data end too early")
+    if done > n:
+        raise FormatError("a back-reference leaves the image")
+    place = np.array(places)
+    start = np.cumsum(made[place]) - made[place]
+    out = np.zeros(n, np.uint8)
+    literal = symbol[place] < LITERALS
+    out[start[literal]] = symbol[place[literal]]
+    which = np.searchsorted(copy, place[~literal])
+    d = distance[which]
+    near = np.array([max(1, x + y * width) for x, y in NEAR])
+    d = np.where(d > 120, d - 120, near[np.minimum(d, 120) - 1])
+    if (d > start[~literal]).any():
+        raise FormatError("a back-reference leaves the image")
+    data = memoryview(out)
+    for s, k, b in zip(start[~literal].tolist(), length[which].tolist(), d.tolist()):
+        if b >= k:
+            data[s : s + k] = data[s - b : s - b + k]
+        else:  # what is copied goes on into itself
+            data[s : s + k] = (bytes(data[s - b : s]) * (k // b + 1))[:k]
+    return out
+
+
 def _entropy_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     """ARGB pixels (uint32, flat) of an entropy-coded image."""
     bits = r.take(4) if r.take(1) else 0
@@ -324,6 +495,9 @@ def _entropy_image(r: BitReader, width: int, height: int, main: bool) -> np.ndar
     if which is None and not bits and first[0].symbols.max() < LITERALS and all(c.one is not None for c in first[1:4]):
         green = _green_only(r, first[0], n).astype(np.uint32)
         return green << 8 | np.uint32(first[3].one << 24 | first[1].one << 16 | first[2].one)
+    if which is None and not bits and all(c.one is not None for c in first[1:4]):
+        green = _green_references(r, first[0], first[4], n, width).astype(np.uint32)
+        return green << 8 | np.uint32(first[3].one << 24 | first[1].one << 16 | first[2].one)
     out, at = [0] * n, 0
     cache, seen = [0] * (1 << bits), 0
     while at < n:
@@ -364,56 +538,55 @@ def _argb(channels: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((channels & 255).astype(np.uint8)).view("<u4").ravel().astype(np.uint32)
 
 
-def _predict(mode: int, left: list, top: list, top_right: list, top_left: list) -> list:
-    mean = lambda a, b: [(x + y) // 2 for x, y in zip(a, b)]
-    clamp = lambda v: max(0, min(255, v))
-    if mode == 1:
-        return left
-    if mode == 2:
-        return top
-    if mode == 3:
-        return top_right
-    if mode == 4:
-        return top_left
+def _predict(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarray, top_left: np.ndarray) -> np.ndarray:
+    """Predictions (n, 4) of pixels by one mode from their neighbours."""
+    mean = lambda a, b: (a + b) >> 1
+    if mode in (1, 2, 3, 4):
+        return (left, top, top_right, top_left)[mode - 1]
     if mode == 5:
         return mean(mean(left, top_right), top)
-    if mode == 6:
-        return mean(left, top_left)
-    if mode == 7:
-        return mean(left, top)
-    if mode == 8:
-        return mean(top_left, top)
-    if mode == 9:
-        return mean(top, top_right)
+    if mode in (6, 7):
+        return mean(left, top_left if mode == 6 else top)
+    if mode in (8, 9):
+        return mean(top, top_left if mode == 8 else top_right)
     if mode == 10:
         return mean(mean(left, top_left), mean(top, top_right))
-    if mode == 11:
-        to_left = sum(abs(t - tl) for t, tl in zip(top, top_left))
-        to_top = sum(abs(a - tl) for a, tl in zip(left, top_left))
-        return left if to_left < to_top else top
+    if mode == 11:  # the neighbour nearer to left + top - top_left, over all channels
+        to_left, to_top = np.abs(top - top_left).sum(axis=1), np.abs(left - top_left).sum(axis=1)
+        return np.where((to_left < to_top)[:, None], left, top)
     if mode == 12:
-        return [clamp(a + b - c) for a, b, c in zip(left, top, top_left)]
+        return np.clip(left + top - top_left, 0, 255)
     if mode == 13:
         half = mean(left, top)
-        return [clamp(a + int((a - c) / 2)) for a, c in zip(half, top_left)]
-    return [0, 0, 0, 255]
+        return np.clip(half + np.trunc((half - top_left) / 2).astype(np.int64), 0, 255)
+    return np.broadcast_to(np.array([0, 0, 0, 255]), left.shape)
 
 
 def _unpredict(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, bits: int) -> np.ndarray:
-    residual = _channels(pixels).tolist()
-    out: list[list[int]] = []
-    for i, d in enumerate(residual):
-        y, x = divmod(i, width)
-        if i == 0:
-            p = [0, 0, 0, 255]
-        elif y == 0:
-            p = out[i - 1]
-        elif x == 0:
-            p = out[i - width]
-        else:  # right of the last column comes the row's own first pixel
-            p = _predict(int(modes[y >> bits, x >> bits]), out[i - 1], out[i - width], out[i - width + 1], out[i - width - 1])
-        out.append([(a + b) & 255 for a, b in zip(d, p)])
-    return _argb(np.array(out))
+    """Pixels of residuals.  All neighbours of (x, y) are in fronts x + 2 y before its own, so a front is one step."""
+    res = _channels(pixels).reshape(height, width, 4)
+    out = np.zeros((height, width, 4), np.int64)
+    out[0, 0] = (res[0, 0] + [0, 0, 0, 255]) & 255
+    out[0] = (out[0, 0] + np.cumsum(np.concatenate([np.zeros((1, 4), np.int64), res[0, 1:]]), axis=0)) & 255
+    out[:, 0] = (out[0, 0] + np.cumsum(np.concatenate([np.zeros((1, 4), np.int64), res[1:, 0]]), axis=0)) & 255
+    used = np.unique(modes)
+    if len(used) == 1 and used[0] in (1, 2):  # along rows or columns only
+        if used[0] == 1:
+            out[1:] = (out[1:, :1] + np.cumsum(np.concatenate([np.zeros((height - 1, 1, 4), np.int64), res[1:, 1:]], axis=1), axis=1)) & 255
+        else:
+            out[:, 1:] = (out[:1, 1:] + np.cumsum(np.concatenate([np.zeros((1, width - 1, 4), np.int64), res[1:, 1:]]), axis=0)) & 255
+        return _argb(out.reshape(-1, 4))
+    flat, rest = out.reshape(-1, 4), res.reshape(-1, 4)
+    for front in range(3, width + 2 * height - 2):
+        y = np.arange(max(1, -(-(front - width + 1) // 2)), min(height, (front - 1) // 2 + 1))
+        x = front - 2 * y
+        i, m = y * width + x, modes[y >> bits, x >> bits]
+        # right of the last column comes the row's own first pixel
+        left, top, top_right, top_left = flat[i - 1], flat[i - width], flat[i - width + 1], flat[i - width - 1]
+        for mode in np.unique(m).tolist():
+            k = np.flatnonzero(m == mode)
+            flat[i[k]] = (rest[i[k]] + _predict(mode, left[k], top[k], top_right[k], top_left[k])) & 255
+    return _argb(flat)
 
 
 def _uncross(pixels: np.ndarray, width: int, height: int, factors: np.ndarray, bits: int) -> np.ndarray:

@@ -204,3 +204,37 @@ def test_round_trip_of_frames_and_few_values():
     for text in ("abcdefgh" * 9000, "ab" * 40_000, "a" * 70_000, "".join(chr(32 + i % 90) for i in range(70_001))):
         p, _ = media.payload(text)
         assert media.decode(media.encode(p)).tobytes() == p
+
+
+@given(st.lists(st.tuples(st.binary(min_size=1, max_size=30), st.integers(1, 40)), min_size=1, max_size=12), st.integers(0, 3))
+@settings(max_examples=80, deadline=None)
+def test_round_trip_of_references(parts, tail):
+    data = np.frombuffer(b"".join(p * k for p, k in parts), np.uint8)
+    samples = np.resize(np.concatenate([data, np.arange(256, dtype=np.uint8)]), (len(data) // 64 + 4, 64))
+    for refer in (False, True):
+        flat = samples.ravel()
+        codes, coded = webp._body(flat, 255, refer)
+        bits = np.concatenate([codes.bits(), coded, np.zeros(64 + tail, np.uint8)])
+        r = webp.BitReader(np.packbits(bits, bitorder="little").tobytes())
+        groups = [webp._read_code(r, k) for k in (280, 256, 256, 256, 40)]
+        read = webp._green_references(r, groups[0], groups[4], len(flat), 64) if refer else webp._green_only(r, groups[0], len(flat))
+        assert (read == flat).all() and r.at == codes.n + len(coded)
+    assert (media.decode(media.encode(samples.tobytes())) == samples).all()
+
+
+def test_the_encoder_uses_what_pays():
+    rng = np.random.default_rng(3)
+    line = bytes(rng.integers(32, 127, 150).astype(np.uint8))
+    repeated, once = media.payload((line * 200).decode())[0], media.payload(bytes(rng.integers(32, 127, 30_000).astype(np.uint8)).decode())[0]
+    assert 30 * len(media.encode(repeated)) < len(repeated) and 2 * len(media.encode(once)) > len(once)
+    ramp = (np.arange(64)[None, :] * 3 + np.arange(300)[:, None] * 5 + rng.integers(0, 3, (300, 64))).astype(np.uint8)
+    stored = webp.encode(ramp)
+    pixels, n = webp.decode(stored)
+    assert (((pixels >> 8) & 255) == ramp).all() and n == len(stored) < ramp.size / 2
+    assert (pixels >> 24 == 255).all() and (pixels & 0xFF00FF == 0).all()
+
+
+def test_frames_of_a_long_text():
+    text = "".join(chr(97 + i * i % 26) * (i % 5) for i in range(2_000_000))  # megabytes, many frames
+    data, n = media.payload(text)
+    assert media.decode(media.encode(data)).tobytes()[:n] == text.encode()
