@@ -1,17 +1,16 @@
-"""Shingle sets: their hashes, their fingerprints, and the exact similarity of pairs."""
+"""Shingle sets: their hashes, their fingerprints, and the exact similarity of pairs among them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable
+from ._shared import small
 
 #: Odd multipliers that place a word in its shingle and a lane in its fingerprint.
 PLACE, LANE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -69,27 +68,39 @@ def sketches(docs: DataFrame, words: int, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, n int, fp binary")
 
 
-def alike(u: np.ndarray, v: np.ndarray, similarity: tuple[int, int]) -> bool:
-    """Whether the cosine of two sets, shared over the root of the sizes' product, is ``similarity`` = p / q or more."""
-    p, q = similarity
-    both = len(u) + len(v) - len(np.union1d(u, v))
-    return (both * q) ** 2 >= p * p * len(u) * len(v)
-
+def linked(sets: list[np.ndarray], similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i < j) of sets whose cosine, shared over the root of the sizes' product, is ``similarity`` = p / q or more.
 
-def checked(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The ``(a, b)`` of ``pairs``, doc_ids, whose whole sets are alike; a doc_id of several texts is alike if one of them
-    is.  Only the texts of documents in a pair are read into sets."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(asked, "node", "left_semi")
+    What any two share is counted for all pairs at once, by products of 0-1 matrices over the hashes that several sets have.
+    """
+    p, q = similarity
+    sizes = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = times > 1
+    place = np.cumsum(many) - 1
+    keep = many[column]
+    row, column = row[keep], place[column[keep]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    shared = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers, exact below 2 ** 24
+    step = max(1, (1 << 24) // max(1, len(sets)))
+    for at in range(0, int(many.sum()), step):
+        a, b = np.searchsorted(column, [at, at + step])
+        part = np.zeros((len(sets), min(step, int(many.sum()) - at)), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        shared += part @ part.T
+    both = shared.astype(np.int64) * q
+    i, j = np.nonzero(np.triu(both * both >= p * p * sizes[:, None] * sizes[None, :], 1))
+    return i, j
+
+
+def hashed(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``(node, hashes binary)``: the sets of the documents whose doc_id is among ``nodes(node)``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small(nodes.select("node")), "node", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["node", "hashes"])
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.loc[[alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(b.x, b.y)], ["a", "b"]]
-
-    have = durable(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
-    both = pairs.join(have.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return durable(both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long").distinct(), "links")
+    return texts.mapInArrow(sets, "node long, hashes binary")

@@ -10,8 +10,8 @@ the bucket; buckets over ``tile`` rows are spread over the cluster by tile pairs
 all fingerprints one bucket.  Only a spanning forest of each tile pair's links leaves the task, never all pairs of a
 group; equal fingerprints are merged before.  Components then come from star contraction on Spark.
 
-``near_dedup`` is for shingle sets: candidates come from the same tiles at a wide radius, and every link is then checked
-on the whole sets, so none is false.
+``near_dedup`` is for shingle sets: the same tiles, at a wide radius, find which sets may be alike, and among these every
+link is found on the whole sets, so none is false.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, durable, quoted, release, small, without
-from .set_check import checked, sketches
+from ._shared import components, durable, quoted, small, without
+from .set_check import hashed, linked, sketches
 
 TILE = 16_384
 #: Rows of a tile inside a bucket that one task holds whole.
@@ -35,6 +35,8 @@ INNER = 256
 #: Cosine of shingle sets, as p / q, and the fingerprints that find it: at 4/5 two sets differ in 0.2048 of the bits, 52.4 of
 #: 256 with a deviation of 6.5; the radius is 2.5 deviations above.
 SIMILARITY, WIDTH, RADIUS = (4, 5), 256, 68
+#: Sets of a candidate group that one task compares on their whole hashes.
+ROOM = 1024
 
 
 def fingerprint(text: str | None, words: int = 3, width: int = 64, seed: int = 42) -> bytes:
@@ -277,124 +279,113 @@ def _several(rows: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
 # ---- shingle sets
 
 
-def _candidates(radius: int, lanes: int, ratio: float, low: int, high: int):
-    """mapInPandas function over tile pairs: ``(a, b, later)``.
-
-    ``high`` 0: a spanning forest of the pairs within the radius, nearest first.  Else each row's nearest pairs from rank
-    ``low`` to ``high`` whose labels differ; ``later`` rows say that a row has more.  Sizes further apart than ``ratio`` are
-    not compared: the rows of a tile are in order of size.
-    """
+def _candidates(radius: int, lanes: int, ratio: float):
+    """mapInPandas function over tile pairs: edges ``(a, b)`` that span the pairs within the radius.  Sizes further apart
+    than ``ratio`` are not compared: the rows of a tile are in order of size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for left, right, same in zip(b.blob, b.blob2, b.same):
                 x = _cut(left, lanes)
                 y = x if same else _cut(right, lanes)
-                yield _forest_edges(x, y, same) if high == 0 else _slices(x, y, same)
+                nodes, shift = (x[0], 0) if same else (np.concatenate([x[0], y[0]]), len(x[0]))
+                forest = _Forest(len(nodes))
+                for i, j in close(x, y):
+                    forest.join(i, j + shift)
+                a, c = _star(nodes, forest)
+                yield pd.DataFrame({"a": a, "b": c})
 
-    def _close(x, y, same):
+    def close(x, y):
         for at in range(0, len(x[1]), INNER):
             n = x[1][at : at + INNER]
-            lo = at if same else int(np.searchsorted(y[1], n[0] * ratio - 1e-6))
-            hi = int(np.searchsorted(y[1], n[-1] / ratio + 1e-6, side="right"))
-            if lo >= hi:
-                continue
-            for i, j, d in _links(x[3][at : at + INNER], y[3][lo:hi], radius):
-                i, j = i + at, j + lo
-                m, k = x[1][i], y[1][j]
-                ok = np.minimum(m, k) >= np.maximum(m, k) * ratio - 1e-6
-                ok &= (i < j) if same else True
-                yield i[ok], j[ok], d[ok]
-
-    def _forest_edges(x, y, same) -> pd.DataFrame:
-        nodes = x[0] if same else np.concatenate([x[0], y[0]])
-        shift, forest, out = 0 if same else len(x[0]), _Forest(len(nodes)), []
-        for i, j, d in _close(x, y, same):
-            by = np.argsort(d, kind="stable")
-            i, j = i[by], j[by] + shift
-            while len(i):
-                a, c = forest.roots(i), forest.roots(j)
-                apart = a != c
-                i, j, a, c = i[apart], j[apart], a[apart], c[apart]
-                if not len(i):
-                    break
-                # each tree takes its first pair: in one strict order these make no circle
-                ends = np.concatenate([a, c])
-                first = np.unique(np.unique(ends, return_index=True)[1] % len(i))
-                out.append((nodes[i[first]], nodes[j[first]]))
-                forest.join(i[first], j[first])
-        a, c = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": c, "later": False})
-
-    def _slices(x, y, same) -> pd.DataFrame:
-        out, later = [], False
-        for i, j, d in _close(x, y, same):  # a row's pairs may come in several parts: each part is ranked by itself
-            by = np.lexsort((j, d, i))
-            i, j = i[by], j[by]
-            head = np.r_[True, i[1:] != i[:-1]]
-            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(head, np.arange(len(i)), 0))
-            differ = x[2][i] != y[2][j]
-            take = (rank >= low) & (rank < high) & differ
-            out.append((x[0][i[take]], y[0][j[take]]))
-            later |= bool((differ & (rank >= high)).any())
-        a, c = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-        if later:
-            a, c = np.append(a, -1), np.append(c, -1)
-        return pd.DataFrame({"a": a, "b": c, "later": np.arange(len(a)) >= len(a) - later})
+            lo, hi = np.searchsorted(y[1], [n[0] * ratio - 1e-6, n[-1] / ratio + 1e-6])
+            if lo < hi:
+                for i, j, _ in _links(x[2][at : at + INNER], y[2][lo:hi], radius):
+                    m, k = n[i], y[1][j + lo]
+                    fits = np.minimum(m, k) >= np.maximum(m, k) * ratio - 1e-6
+                    yield i[fits] + at, j[fits] + lo
 
     return run
 
 
-def _cut(blob: bytes, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(nodes, sizes, labels, fingerprints) of a tile, by size."""
-    a = np.frombuffer(blob, dtype=">u8").astype(np.uint64).reshape(-1, lanes + 3)
+def _cut(blob: bytes, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, sizes, fingerprints) of a tile, by size."""
+    a = np.frombuffer(blob, dtype=">u8").astype(np.uint64).reshape(-1, lanes + 2)
     a = a[np.argsort(a[:, 1], kind="stable")]
-    return a[:, 0].view(np.int64), a[:, 1].astype(np.float64), a[:, 2].view(np.int64), np.ascontiguousarray(a[:, 3:])
+    return a[:, 0].view(np.int64), a[:, 1].astype(np.float64), np.ascontiguousarray(a[:, 2:])
 
 
 def _tile_joins(rows: DataFrame, radius: int, ratio: float, tile: int) -> DataFrame:
-    """``(blob, blob2, same)``: the tile pairs of ``rows(key, node, n, label, fp, pc)`` that may hold candidates.
+    """``(blob, blob2, same)``: the tile pairs of ``rows(node, n, fp, pc)`` that may hold candidates.
 
-    A key's rows are dealt to size classes, and in a class to tiles by population count.  Tiles of the same or
-    neighbouring classes are paired, unless their population counts lie further apart than the radius.
+    Rows are dealt to size classes, and in a class to tiles by population count.  Tiles of the same or neighbouring
+    classes are paired, unless their population counts lie further apart than the radius.
     """
     cls = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(ratio)) + 1e-9).cast("int")
     rows = rows.withColumn("cls", cls)
-    cells = rows.groupBy("key", "cls", "pc").count()
-    up = Window.partitionBy("key", "cls").orderBy("pc").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("key", "cls", "pc", F.col("count").alias("room"), F.coalesce(F.sum("count").over(up), F.lit(0)).alias("before"))
-    cells = durable(cells, "cells")
+    cells = rows.groupBy("cls", "pc").count()
+    up = Window.partitionBy("cls").orderBy("pc").rowsBetween(Window.unboundedPreceding, -1)
+    cells = durable(cells.select("cls", "pc", F.col("count").alias("room"), F.coalesce(F.sum("count").over(up), F.lit(0)).alias("before")), "cells")
     word = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    cell = F.concat(word(F.col("node")), word(F.col("n").cast("long")), word(F.col("label")), F.col("fp"))
+    cell = F.concat(word(F.col("node")), word(F.col("n").cast("long")), F.col("fp"))
     at = F.floor((F.col("before") + F.pmod(F.xxhash64("fp"), F.col("room"))) / tile).cast("int")
-    dealt = rows.join(small(cells), ["key", "cls", "pc"]).select("key", "cls", at.alias("at"), "pc", cell.alias("cell"))
-    tiles = dealt.groupBy("key", "cls", "at").agg(F.min("pc").alias("lo"), F.max("pc").alias("hi"), F.listagg("cell").alias("blob"))
+    dealt = rows.join(small(cells), ["cls", "pc"]).select("cls", at.alias("at"), "pc", cell.alias("cell"))
+    tiles = dealt.groupBy("cls", "at").agg(F.min("pc").alias("lo"), F.max("pc").alias("hi"), F.listagg("cell").alias("blob"))
     tiles = durable(tiles, "tiles")
-    meta = tiles.select("key", "cls", "at", "lo", "hi")
-    per = meta.groupBy("key", "cls").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("others"))
+    meta = tiles.select("cls", "at", "lo", "hi")
+    per = meta.groupBy("cls").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("others"))
     pairs = None
     for up_ in (0, 1):  # the tiles of a class, one row, reach those of the same and of the next class
-        other = per.select("key", (F.col("cls") - up_).alias("cls"), "others")
-        found = meta.join(other, ["key", "cls"]).select("key", "cls", "at", "lo", "hi", F.explode("others").alias("o"))
+        found = meta.join(per.select((F.col("cls") - up_).alias("cls"), "others"), "cls").select("cls", "at", "lo", "hi", F.explode("others").alias("o"))
         found = found.where((F.col("o.lo") <= F.col("hi") + radius) & (F.col("o.hi") >= F.col("lo") - radius))
         found = found.where("o.at >= at") if up_ == 0 else found
-        found = found.select("key", "cls", "at", (F.col("cls") + up_).alias("cls2"), F.col("o.at").alias("at2"))
+        found = found.select("cls", "at", (F.col("cls") + up_).alias("cls2"), F.col("o.at").alias("at2"))
         pairs = found if pairs is None else pairs.unionByName(found)
-    right = tiles.select("key", F.col("cls").alias("cls2"), F.col("at").alias("at2"), F.col("blob").alias("blob2"))
-    joined = pairs.join(tiles.select("key", "cls", "at", "blob"), ["key", "cls", "at"]).join(right, ["key", "cls2", "at2"])
+    right = tiles.select(F.col("cls").alias("cls2"), F.col("at").alias("at2"), F.col("blob").alias("blob2"))
+    joined = pairs.join(tiles.select("cls", "at", "blob"), ["cls", "at"]).join(right, ["cls2", "at2"])
     n = max(1, min(4096, rows.sparkSession.sparkContext.defaultParallelism * 4))
-    mixed = F.xxhash64("key", "cls", "at", "cls2", "at2")
+    mixed = F.xxhash64("cls", "at", "cls2", "at2")
     return joined.select("blob", "blob2", F.expr("cls = cls2 AND at = at2").alias("same"), mixed.alias("to")).repartition(n, "to").drop("to")
 
 
-def groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILARITY, width: int = WIDTH, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def _among(similarity: tuple[int, int]):
+    """mapInPandas function over rows (key, node, label, hashes) sorted by key: edges ``(a, b)`` that span the links of each
+    run of one key.  Runs that are one label already are left out."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes = rows.node.to_numpy()
+        if len(nodes) < 2 or rows.label.nunique() == 1:
+            return pd.DataFrame({"a": nodes[:0], "b": nodes[:0]})
+        forest = _Forest(len(nodes))
+        forest.join(*linked([np.frombuffer(h, np.uint64) for h in rows.hashes], similarity))
+        a, b = _star(nodes, forest)
+        return pd.DataFrame({"a": a, "b": b})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            key = b.key.to_numpy()
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            found = [solve(b[s:e]) for s, e in zip(cut[:-1], cut[1:])]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+            rest = b[cut[-1] :]  # the last run may go on in the next batch
+        if rest is not None and len(rest):
+            yield solve(rest)
+
+    return run
+
+
+def groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILARITY, width: int = WIDTH, radius: int = RADIUS, tile: int = TILE, room: int = ROOM) -> DataFrame:
     """``(doc_id, component_id)`` of ``docs(doc_id, text)``, for each doc_id that is not null: the smallest doc_id reachable
-    over links.  Two sets link if their fingerprints are within the radius and their cosine is ``similarity`` or more.
+    over links.
 
-    1. All fingerprints meet in tiles; a spanning forest of the candidates, nearest pairs first, is checked on whole sets.
-    2. Where a component of candidates has fallen into several components of links, its rows meet again, alone:
-       each row's candidates of another component are checked, the nearest first, in growing numbers, until none is left.
-    Texts of one doc_id link.  Texts without words are one empty set, and link.
+    1. All fingerprints meet in tiles; the components of the pairs within the radius are the candidate groups.
+    2. In each candidate group the links are the pairs of a cosine of ``similarity`` or more, counted on whole sets.  Groups
+       of over ``room`` sets (or as many bytes as these usually have) are cut in parts; each part meets itself and the next,
+       and where that leaves more than one component, all parts of the group meet.
+    Only edges that span links leave a task.  Texts of one doc_id link.  Texts without words are one empty set, and link.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lanes, ratio = width // 64, (similarity[0] / similarity[1]) ** 2
@@ -402,29 +393,26 @@ def groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILA
     ones = sum((F.bit_count(F.conv(F.substring(F.hex("fp"), 8 * k + 1, 8), 16, 10).cast("long")) for k in range(width // 32)), F.lit(0))
     nodes = all_.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp")).withColumn("pc", ones.cast("int"))
     nodes = durable(nodes, "nodes")
-    shape = "a long, b long, later boolean"
-    rows = nodes.select(F.lit(0).cast("long").alias("key"), "node", "n", F.lit(0).cast("long").alias("label"), "fp", "pc")
-    found = _tile_joins(rows, radius, ratio, tile).mapInPandas(_candidates(radius, lanes, ratio, 0, 0), shape)
-    tried = durable(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    edges = checked(tried, docs, words, similarity)
-    group = durable(components(tried).select("node", F.col("label").alias("key")), "groups")
-    low, high = 0, 8
-    while True:
-        label = components(edges)
-        now = group.join(label, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
-        now = durable(now, "labels")
-        split = durable(now.groupBy("key").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("key"), "split")
-        if split.isEmpty():
-            break
-        rows = nodes.join(now.join(small(split), "key", "left_semi"), "node").select("key", "node", "n", "label", "fp", "pc")
-        found = _tile_joins(durable(rows, "rows"), radius, ratio, tile).mapInPandas(_candidates(radius, lanes, ratio, low, high), shape)
-        found = durable(found, "found")
-        fresh = found.where("NOT later AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = durable(fresh, "fresh")
-        edges = edges.unionByName(checked(fresh, docs, words, similarity))
-        if found.where("later").isEmpty():
-            break
-        low, high = high, high * 8
+    maybe = _tile_joins(nodes.select("node", "n", "fp", "pc"), radius, ratio, tile).mapInPandas(_candidates(radius, lanes, ratio), "a long, b long")
+    group = components(maybe).select("node", F.col("label").alias("grp"))
+    load = nodes.join(group, "node").groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / room), F.ceil(F.sum("n") / (room * 1024))).cast("long").alias("parts"))
+    group = durable(group.join(load, "grp").select("node", "grp", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "groups")
+    sets = durable(hashed(docs, group, words).join(small(group), "node").withColumn("label", F.col("node")), "sets")
+    whole = sets.where("parts = 1").select(F.col("grp").alias("key"), "node", "label", "hashes")
+    met = lambda rows: rows.select("key", "node", "label", "hashes").repartition("key").sortWithinPartitions("key").mapInPandas(_among(similarity), "a long, b long")
+    edges = durable(met(whole), "links")
+    if not group.where("parts > 1").isEmpty():
+        key = lambda i, j: F.xxhash64("grp", i, j).alias("key")
+        part, parts = F.col("part"), F.col("parts")
+        large = sets.where("parts > 1")
+        near = F.array(part, F.pmod(part - 1, parts))  # the pair of this part and the next, that of the last and this
+        first = durable(met(large.withColumn("i", F.explode(near)).withColumn("key", key(F.col("i"), F.lit(-1)))), "links")
+        label = durable(group.where("parts > 1").join(components(first), "node", "left").select("node", "grp", F.coalesce("label", "node").alias("label")), "labels")
+        split = label.groupBy("grp").agg((F.min("label") != F.max("label")).alias("split")).where("split").select("grp")
+        rest = large.drop("label").join(small(label.join(split, "grp", "left_semi").select("node", "label")), "node")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other")
+        rest = rest.select("grp", "node", "label", "hashes", "part", other).where("part <> other")
+        edges = edges.unionByName(first).unionByName(met(rest.withColumn("key", key(F.least("part", "other"), F.greatest("part", "other")))))
     label = components(edges.unionByName(_several(all_, nodes.select("s1", "s2", "node"), ["s1", "s2"])))
     of = nodes.join(label, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component_id"))
     return all_.join(of, ["s1", "s2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

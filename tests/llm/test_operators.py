@@ -412,8 +412,8 @@ def test_op10(docs, rows, words, radius, width, tile):
     assert got == {i: (values[i], label[i]) for i in values}
 
 
-@pytest.mark.parametrize("tile", [simhash.TILE, 20])
-def test_near_dedup_links_exactly_at_its_similarity(spark, tile):
+@pytest.mark.parametrize(("tile", "room"), [(simhash.TILE, simhash.ROOM), (20, 10)])
+def test_near_dedup_links_exactly_at_its_similarity(spark, tile, room):
     """Pairs of all similarities about 0.8, a common line, chains and a large group, against the plain definition."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
@@ -434,22 +434,28 @@ def test_near_dedup_links_exactly_at_its_similarity(spark, tile):
 
     sets = [shingles(t) for t in texts]
     fps = [int.from_bytes(set_check.fingerprint(set_check.shingles(t), simhash.WIDTH)) for t in texts]
-    up = list(range(len(texts)))
-    top = lambda i: i if up[i] == i else top(up[i])
-    alike = missed = 0
-    for i in range(len(sets)):
-        for j in range(i):
-            if 25 * len(sets[i] & sets[j]) ** 2 >= 16 * len(sets[i]) * len(sets[j]):
-                alike += 1
-                if (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS:
-                    a, b = top(i), top(j)
-                    up[max(a, b)] = min(a, b)
-                else:
-                    missed += 1
-    assert alike > 200 and missed <= 0.02 * alike
+    def joined(pairs):
+        up = list(range(len(texts)))
+        for i, j in pairs:
+            while up[i] != i:
+                i = up[i]
+            while up[j] != j:
+                j = up[j]
+            up[max(i, j)] = min(i, j)
+        for i in range(len(up)):
+            up[i] = up[up[i]]
+        return up
+
+    all_ = [(i, j) for i in range(len(texts)) for j in range(i)]
+    near = [p for p in all_ if (fps[p[0]] ^ fps[p[1]]).bit_count() <= simhash.RADIUS and 25 * min(len(sets[x]) for x in p) >= 16 * max(len(sets[x]) for x in p)]
+    alike = [(i, j) for i, j in all_ if 25 * len(sets[i] & sets[j]) ** 2 >= 16 * len(sets[i]) * len(sets[j])]
+    maybe = joined(near)
+    kept = [(i, j) for i, j in alike if maybe[i] == maybe[j]]
+    assert len(alike) > 200 and len(kept) >= 0.98 * len(alike)
+    want = joined(kept)
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert {r.doc_id: r.component_id for r in simhash.groups(table, tile=tile).collect()} == {i: top(i) for i in range(len(texts))}
-    assert {r.doc_id for r in simhash.near_dedup(table).collect()} == {i for i in up if top(i) == i}
+    assert {r.doc_id: r.component_id for r in simhash.groups(table, tile=tile, room=room).collect()} == dict(enumerate(want))
+    assert {r.doc_id for r in simhash.near_dedup(table).collect()} == set(want)
 
 
 def test_a_document_of_several_texts_is_one_node(spark):
