@@ -8,41 +8,53 @@ from pyspark.sql import functions as F
 from ._shared import durable
 
 
-def _all(kind: str, pattern: str, context: int) -> Column:
+BLANKS = "\t\n\x0b\x0c\r"
+
+
+def _all(kind: str, pattern: str, words: bool, pieces: Column) -> Column:
     """Array of (kind, idx, gap, len, match, before, after) of the leftmost non-overlapping matches in column text.
 
     The text between matches (split) and the matches (extract all) alternate, so a match starts where the pieces and
     matches before it end; positions are summed up later, over rows.  Pieces and matches are zipped first: what a
-    lambda refers to from outside is computed again for every element, and the text must be split once only.
+    lambda refers to from outside is computed again for every element, and the text must be split once only.  A text
+    without matches is one piece, and is not searched again.
     """
-    pieces, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     n = F.size(pieces) - 1
-    zipped = F.arrays_zip(F.slice(pieces, 1, n).alias("p"), found.alias("m"), F.slice(pieces, 2, n).alias("q"))
+    zipped = F.arrays_zip(F.slice(pieces, 1, n).alias("p"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.slice(pieces, 2, n).alias("q"))
+    spaced = lambda c: F.translate(c, BLANKS, " " * len(BLANKS))
     row = lambda z, i: F.struct(
         F.lit(kind).alias("kind"),
         i.alias("idx"),
         F.length(z["p"]).alias("gap"),
         F.length(z["m"]).alias("len"),
         z["m"].alias("match"),
-        F.right(z["p"], F.lit(context)).alias("before"),
-        F.left(z["q"], F.lit(context)).alias("after"),
+        F.substring_index(spaced(z["p"]), " ", -8).alias("before") if words else F.lit(None).cast("string").alias("before"),
+        F.substring_index(spaced(z["q"]), " ", 8).alias("after") if words else F.lit(None).cast("string").alias("after"),
     )
-    return F.when(F.col("text").rlike(pattern), F.transform(zipped, row)).otherwise(F.array())
+    return F.when(n > 0, F.transform(zipped, row)).otherwise(F.array())
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``(rid, doc_id, text)``: the rows of ``docs`` with a number, null texts as empty."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
 
 
-def matches(docs: DataFrame, patterns: dict[str, str], context: int = 0) -> DataFrame:
+def matches(docs: DataFrame, patterns: dict[str, str], words: bool = False, rid: str | None = None) -> DataFrame:
     """Rows ``(rid, doc_id, kind, start, end, match, before, after)``: all matches of all patterns in every text of ``docs``.
 
     start, end: code points, end exclusive.  Every document also has a row of a null kind, so that documents
-    without matches stay.  rid tells the rows of ``docs`` apart.  A null text is empty.  The texts are read once and not shuffled; only
-    the matches are, to sum up positions.  before, after: up to ``context`` code points beside the match, as far as
-    the next match of the same kind.
+    without matches stay.  rid tells the rows of ``docs`` apart (its column ``rid``, or a number).  A null text is empty.
+    The texts are read once and not shuffled; only the matches are, to sum up positions.  before, after, if ``words``: up to
+    eight space-separated pieces beside the match, as far as the next match of the same kind, blanks as spaces.
     """
     shape = "array<struct<kind:string,idx:int,gap:int,len:int,match:string,before:string,after:string>>"
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    base = numbered(docs) if rid is None else docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(rid).alias("rid"))
     mark = F.array(F.struct(*[F.lit(None).alias(x) for x in ("kind", "idx", "gap", "len", "match", "before", "after")])).cast(shape)
-    each = F.concat(mark, *[_all(k, p, context).cast(shape) for k, p in patterns.items()])
-    rows = durable(base.select("rid", "doc_id", F.explode(each).alias("m")).select("rid", "doc_id", "m.*"), "matches")
+    each = [mark]
+    for kind, pattern in patterns.items():
+        base = base.withColumn(f"p_{kind}", F.split("text", pattern, -1))
+        each.append(_all(kind, pattern, words, F.col(f"p_{kind}")).cast(shape))
+    rows = durable(base.select("rid", "doc_id", F.explode(F.concat(*each)).alias("m")).select("rid", "doc_id", "m.*"), "matches")
     so_far = Window.partitionBy("rid", "kind").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     found = rows.where("kind IS NOT NULL").withColumn("end", F.sum(F.col("gap").cast("long") + F.col("len")).over(so_far))
     found = found.select("rid", "doc_id", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "match", "before", "after")

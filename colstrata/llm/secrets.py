@@ -1,12 +1,14 @@
 """Secret scan: fixed forms, and a randomness test battery over other tokens; DataFrame functions only.
 
-Tokens of 20 characters and more of the base-64 alphabets are candidates.  The narrowest encoding that can
-spell a token is inferred (digits, hex, base 32, base 64), and the token's symbols are tested against it:
+Tokens of the base-64 alphabets are candidates from 20 characters on, with a digit from 12 on.  The narrowest encoding
+that can spell a token is inferred (digits, hex, base 32, base 64), and the token's symbols are tested against it:
 chi-squared uniformity of the alphabet, a runs test about the middle of the alphabet and the lag-1 serial
 correlation.  Fisher's method combines the three p-values.  Random tokens have p-values spread evenly over 0
 to 1, words and identifiers pile up at 0, and how far they reach depends on the length.  So within each
-(encoding, length class) the share of random tokens is estimated from the upper half of p, and the threshold
-is the smallest at which the estimated share of non-random tokens among the flagged is at most ``fdr``.
+(encoding, length class) the number of random tokens is estimated from the upper half of p, which is no part of what is
+decided, and only if p is spread evenly there; else from its last quarter.  The threshold is the smallest p below one
+half at which the estimated share of non-random tokens among the flagged is at most ``fdr``; where none is, nothing
+is flagged.  A class of under LEAST tokens in the upper half is estimated with all of its encoding.
 All tokens of the corpus enter the estimate, each distinct token once.
 """
 
@@ -23,11 +25,12 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex"]
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+)"
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {"dec": DIGITS, "hex": DIGITS + "abcdef", "b32": UPPER + "234567", "b64": UPPER + UPPER.lower() + DIGITS + "+/"}
 STEPS = 20
+LEAST = 20
 
 
 def _tail(z: Column) -> Column:
@@ -68,29 +71,38 @@ def thresholds(scored: DataFrame, fdr: float = 0.05) -> DataFrame:
     """``(enc, size, least)``: for each encoding and length class (power of two) the p from which tokens are flagged."""
     cls = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int").alias("size")
     cells = scored.groupBy("enc", cls, F.least(F.lit(STEPS - 1), F.floor(F.col("p") * STEPS)).cast("int").alias("step")).count()
-    by = cells.groupBy("enc", "size").agg(F.collect_list(F.struct("step", "count")).alias("cells"))
-    above = lambda s: F.aggregate(F.filter("cells", lambda c: c["step"] >= s), F.lit(0).cast("long"), lambda a, c: a + c["count"])
-    by = by.withColumn("half", above(F.lit(STEPS // 2)))
-    tries = F.transform(F.sequence(F.lit(1), F.lit(STEPS // 2)), lambda s: F.struct(s.alias("s"), above(s).alias("n")))
-    good = F.filter(tries, lambda t: (t["n"] > 0) & (t["n"] - 2.0 * F.col("half") * (1 - t["s"] / STEPS) <= fdr * t["n"]))
+    by = cells.groupBy("enc", "size").agg(F.collect_list(F.struct("step", "count")).alias("own"))
+    pooled = cells.groupBy("enc", "step").agg(F.sum("count").alias("count")).groupBy("enc").agg(F.collect_list(F.struct("step", "count")).alias("all"))
+    above = lambda cells, s: F.aggregate(F.filter(cells, lambda c: c["step"] >= s), F.lit(0).cast("long"), lambda a, c: a + c["count"])
+    by = by.join(pooled, "enc").withColumn("cells", F.when(above("own", F.lit(STEPS // 2)) >= LEAST, F.col("own")).otherwise(F.col("all")))
+    by = by.withColumn("half", above("cells", F.lit(STEPS // 2))).withColumn("quarter", above("cells", F.lit(3 * STEPS // 4)))
+    even = F.col("quarter") >= F.col("half") / 2 - F.sqrt("half")  # within two deviations
+    by = by.withColumn("random", F.when(even, F.col("half") * 2).otherwise(F.col("quarter") * 4))
+    tries = F.transform(F.sequence(F.lit(1), F.lit(STEPS // 2 - 1)), lambda s: F.struct(s.alias("s"), above("cells", s).alias("n")))
+    good = F.filter(tries, lambda t: (t["n"] > 0) & (t["n"] - F.col("random") * (1 - t["s"] / STEPS) <= fdr * t["n"]))
     return by.select("enc", "size", (F.array_min(F.transform(good, lambda t: t["s"])) / STEPS).alias("least")).where("least IS NOT NULL")
 
 
+def unknown(tokens: DataFrame, fdr: float = 0.05) -> DataFrame:
+    """``(token)``: the distinct tokens of ``tokens(token)`` that the battery flags."""
+    scored = durable(battery(tokens.select("token").distinct()), "scored")
+    limits = thresholds(scored, fdr)  # at most encodings x 31 length classes
+    return scored.withColumn("size", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int")).join(F.broadcast(limits), ["enc", "size"]).where("p >= least").select("token")
+
+
 def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     """``(rid, doc_id, spans array<struct<start, end, rank, kind>>)``, one row per row of ``docs(doc_id, text)``.
 
     Kinds: assign, access and hex are the base forms (rank 0 to 2), random are added tokens (rank 3) that overlap no
-    base span and pass the battery.  Null and empty texts have no spans; repeated rows are scanned each.
+    base span and pass the battery.  Null and empty texts have no spans; repeated rows are scanned each, rows without doc_id
+    too; an empty table gives no rows; other columns are ignored.
     """
     found = matches(docs, {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN})
     value = F.regexp_extract("match", ASSIGN, 1)
     found = durable(found.where((F.coalesce("kind", F.lit("")) != "assign") | (F.length(value) >= 12)), "spans")
     spans = found.where("kind IS NOT NULL").withColumn("free", apart(found, F.col("kind") != "random"))
     tokens = spans.where("kind = 'random' AND free").select("rid", "doc_id", "kind", "start", "end", F.col("match").alias("token"))
-    scored = durable(battery(tokens.select("token").distinct()), "scored")
-    limits = thresholds(scored, fdr)  # at most encodings x 31 length classes
-    flagged = scored.withColumn("size", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int")).join(F.broadcast(limits), ["enc", "size"]).where("p >= least").select("token")
-    added = tokens.join(flagged, "token").select("rid", "doc_id", "kind", "start", "end")
+    added = tokens.join(unknown(tokens, fdr), "token").select("rid", "doc_id", "kind", "start", "end")
     every = found.where("kind IS NULL OR kind <> 'random'").select("rid", "doc_id", "kind", "start", "end").unionByName(added)
     rank = F.array_position(F.array(*[F.lit(k) for k in [*KINDS, "random"]]), F.col("kind")).cast("int") - 1
     one = F.when(F.col("kind").isNotNull(), F.struct("start", "end", rank.alias("rank"), "kind"))

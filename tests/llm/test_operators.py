@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from colstrata.llm import _shared, decontaminate, media, mixing, pii, quality, secrets, set_check, sharding, simhash, suffix_dedup, token_rollup
+from colstrata.llm import _shared, decontaminate, evaluate, media, mixing, pii, quality, secrets, set_check, sharding, simhash, suffix_dedup, token_rollup
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -277,6 +277,35 @@ def test_op6_contexts_find_unseen_identifiers(spark):
     assert out[201].n_email == 2 and out[201].n_ip == 2
 
 
+def test_op6_values_without_digits_and_long_words_beside(spark):
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(60)]
+    long_ = "x" * 90  # whole words are patterns, however long
+    rows = [(i, f"{prose(rng, 20)} login {long_}: {n}@corp.org seen {prose(rng, 20)}") for i, n in enumerate(names[:45])]
+    rows += [(100 + i, f"{prose(rng, 20)} login {long_}: {n}(at)corp seen {prose(rng, 20)}") for i, n in enumerate(names[45:])]
+    rows += [(200 + i, f"{prose(rng, 9)} desk {n}(at)corp {prose(rng, 9)}") for i, n in enumerate(names[45:])]  # found there too
+    rows += [(300, f"{prose(rng, 9)} login {'x' * 89}: nobody here")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in pii.digest(pii.scan(table)).collect()}
+    assert all("context:" in out[i] for i in out if 100 <= i < 300) and "context" not in out[300]
+    text = dict(rows)[100]
+    start = text.index(names[45])
+    assert out[100] == f"context:{start}:{start + len(names[45]) + 8}"
+    got = evaluate.masked_personal(table.where("doc_id < 100"))
+    assert got["hidden"] > 10 and got["found"] >= 0.9 * got["hidden"] and got["false"] == 0
+
+
+def test_op3_masked_values_are_found(spark):
+    rng = np.random.default_rng(7)
+    letters = np.array(list(secrets.ALPHABETS["b64"][:62]))
+    keys = ["".join(rng.choice(letters, 40)) for _ in range(400)]
+    rows = [(i, f"token = '{k}' then " + "/".join(rng.choice(["usr", "share", "lib2", "python", "site-packages"], 6)) + " end") for i, k in enumerate(keys)]
+    got = evaluate.masked_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got["hidden"] > 150 and got["found"] >= 0.9 * got["hidden"] and got["false"] <= 0.1 * got["found"] and got["other"] > 100
+    # one token alone is no evidence against its class
+    assert secrets.thresholds(spark.createDataFrame([("aXb9" * 6, "b64", 24, 0.3)], "token string, enc string, n int, p double")).collect() == []
+
+
 def test_op6_discovered_values_admit_patterns(spark):
     rows = [(f"email=s{i}", "email", "1<mailbox") for i in range(40)]
     rows += [(f"v{i}", None, p) for i in range(8) for p in ("1<mailbox", "1>desk")]  # found by the seeds' pattern
