@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import RANGE_ROWS, Ranges, spare
+
 
 def samp_var(c: Column | str) -> Column:
     """Sample variance; 0 for fewer than two rows."""
@@ -75,20 +77,39 @@ def state(value: str) -> list[Column]:
 
 
 def merge(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Merge states of disjoint parts (Chan's parallel variance) to count, sum, mean, sample variance, min and max."""
-    n, total = F.sum("n"), F.sum("sum")
-    mean = total / n
-    # sum of squares about the common mean: within the parts and between them
-    m2 = F.sum("m2") + F.sum(F.col("n") * F.col("mean") * F.col("mean")) - n * mean * mean
-    var = F.when(n > 1, F.greatest(m2, F.lit(0.0)) / F.when(n > 1, n - 1)).otherwise(0.0)
-    return states.where("n > 0").groupBy(*keys).agg(n.alias("count"), total.alias("sum"), mean.alias("mean"), var.alias("variance"), F.min("lo").alias("min"), F.max("hi").alias("max"))
+    """Merge states of disjoint parts to count, sum, mean, sample variance, min and max.
+
+    Squares are summed about the mean of all parts: those within the parts, and those of the parts' means, so values far
+    from 0 lose no digits.  States are as few as partial aggregation left.
+    """
+    mean, off = spare(states, "mean", "off")
+    w = Window.partitionBy(*(keys or [F.lit(0)]))
+    known = states.where("n > 0").withColumn(mean, F.sum("sum").over(w) / F.sum("n").over(w))
+    known = known.withColumn(off, F.col("mean") - F.col(mean))
+    n = F.sum("n")
+    m2 = F.sum(F.col("m2") + F.col("n") * F.col(off) * F.col(off))
+    var = F.when(n > 1, m2 / F.when(n > 1, n - 1)).otherwise(0.0)
+    return known.groupBy(*keys).agg(n.alias("count"), F.sum("sum").alias("sum"), F.first(mean).alias("mean"), var.alias("variance"), F.min("lo").alias("min"), F.max("hi").alias("max"))
 
 
 def runs(df: DataFrame, value: str, order: str, keys: Sequence[str] = ()) -> DataFrame:
     """Runs of equal consecutive values: ``(keys, run, value, length, first)``; run counts from 0."""
+    length, first = F.count("*").alias("length"), F.min(order).alias("first")
+    if not keys:
+        return rle(df, value, order)
+    last, fresh = spare(df, "last", "fresh")
     w = Window.partitionBy(*keys).orderBy(order)
-    fresh = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"), F.lit(1))
-    fresh = F.when(F.row_number().over(w) == 1, 1).otherwise(fresh)
-    run = F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    marked = df.withColumn("_fresh", fresh).withColumn("run", run.cast("long"))
-    return marked.groupBy(*keys, "run").agg(F.first(value).alias(value), F.count("*").alias("length"), F.min(order).alias("first"))
+    marked = df.withColumn(last, F.lag(F.struct(F.col(value).alias("v"))).over(w))
+    marked = marked.withColumn(fresh, (F.col(last).isNull() | ~F.col(value).eqNullSafe(F.col(last)["v"])).cast("long"))
+    marked = marked.withColumn("run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return marked.groupBy(*keys, "run").agg(F.first(value).alias(value), length, first)
+
+
+def rle(df: DataFrame, value: str, order: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """``(run, value, length, first)`` of a series without a key: runs go on from range to range."""
+    last, fresh = spare(df, "last", "fresh")
+    r = Ranges(df.select(value, order), [order], rows)
+    marked = r.before(r.df, F.struct(F.col(value).alias("v")), last)
+    marked = marked.withColumn(fresh, (F.col(last).isNull() | ~F.col(value).eqNullSafe(F.col(last)["v"])).cast("long"))
+    marked = r.running(marked, F.col(fresh), "run")
+    return marked.groupBy((F.col("run") - 1).alias("run")).agg(F.first(value).alias(value), F.count("*").alias("length"), F.min(order).alias("first"))

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import row_index, running_sum
-from .windows import framed
+from .aggregates import rle
+from .ordered import Ranges, row_index, running_sum, spare
 
 
 def dictionary(df: DataFrame, value: str) -> DataFrame:
@@ -24,15 +24,6 @@ def dictionary_decode(encoded: DataFrame, codes: DataFrame) -> DataFrame:
     return encoded.join(codes, "code", "left")
 
 
-def rle(df: DataFrame, value: str, order: str) -> DataFrame:
-    """``(run, value, length, first)`` in row order; runs over the whole series, found block by block."""
-    fresh = framed(df, order, -1, -1, {"_last": lambda w: F.first(F.struct(value)).over(w)})
-    fresh = fresh.withColumn("_fresh", (F.col("_last").isNull() | ~F.col(value).eqNullSafe(F.col(f"_last.{value}"))).cast("long"))
-    marked = running_sum(fresh, F.col("_fresh"), [order], "_run")
-    out = marked.groupBy((F.col("_run") - 1).alias("run")).agg(F.min(value).alias(value), F.count("*").alias("length"), F.min(order).alias("first"))
-    return out
-
-
 def rle_decode(runs: DataFrame, value: str) -> DataFrame:
     """``(run, offset, value)``: one row per row of the encoded series."""
     return runs.select("run", F.explode(F.sequence(F.lit(0), F.col("length").cast("int") - 1)).alias("offset"), value)
@@ -40,7 +31,9 @@ def rle_decode(runs: DataFrame, value: str) -> DataFrame:
 
 def delta_encode(df: DataFrame, value: str, order: str) -> DataFrame:
     """``df`` with ``delta``: the difference to the row before, of the first row to 0."""
-    return framed(df, order, -1, -1, {"_last": lambda w: F.first(value).over(w)}).withColumn("delta", F.col(value) - F.coalesce("_last", F.lit(0))).drop("_last")
+    (last,) = spare(df, "last")
+    r = Ranges(df, [order])
+    return r.done(r.before(r.df, F.col(value), last).withColumn("delta", F.col(value) - F.coalesce(last, F.lit(0))).drop(last))
 
 
 def delta_decode(df: DataFrame, order: str, alias: str = "value") -> DataFrame:
@@ -54,10 +47,11 @@ def bit_width(value: str):
 
 def frame_of_reference(df: DataFrame, value: str) -> DataFrame:
     """``df`` with ``scaled``: the value's place between the column's least and greatest in 2**31 - 1 steps (lossy)."""
-    ends = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    step = (F.col("_hi") - F.col("_lo")) / 2147483647
-    scaled = F.when(F.col("_hi") > F.col("_lo"), F.round((F.col(value) - F.col("_lo")) / F.when(step > 0, step))).otherwise(0.0)
-    return df.join(F.broadcast(ends)).withColumn("scaled", scaled.cast("long")).drop("_lo", "_hi")  # one row
+    lo, hi = spare(df, "lo", "hi")
+    ends = df.agg(F.min(value).alias(lo), F.max(value).alias(hi))
+    step = (F.col(hi) - F.col(lo)) / 2147483647
+    scaled = F.when(F.col(hi) > F.col(lo), F.round((F.col(value) - F.col(lo)) / F.when(step > 0, step))).otherwise(0.0)
+    return df.join(F.broadcast(ends)).withColumn("scaled", scaled.cast("long")).drop(lo, hi)  # one row
 
 
 def column_stats(df: DataFrame, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running_sum
+from .ordered import RANGE_ROWS, Ranges, bisect, running_sum, spare
 
 THETA = {"eq": "=", "lt": "<", "le": "<=", "gt": ">", "ge": ">=", "ne": "<>"}
 #: Rows that a side may have to be broadcast on request; beyond it the planner decides.
@@ -31,14 +31,16 @@ def merge_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how:
 def first_match(probe: DataFrame, build: DataFrame, on: str, row: str, how: str = "inner") -> DataFrame:
     """At most one match a probe row: of the build rows with its key the last by ``row``.  Duplicates of the build side
     are reduced before the join, so it can't multiply rows."""
-    last = build.groupBy(on).agg(F.max_by(F.struct(*[c for c in build.columns if c != on]), row).alias("_b"))
-    return probe.join(last, on, how).select(*probe.columns, *[F.col(f"_b.{c}").alias(c) for c in build.columns if c != on])
+    (held,) = spare(probe, "build")
+    last = build.groupBy(on).agg(F.max_by(F.struct(*[c for c in build.columns if c != on]), row).alias(held))
+    return probe.join(last, on, how).select(*probe.columns, *[F.col(f"{held}.{c}").alias(c) for c in build.columns if c != on])
 
 
 def pair_join(left: DataFrame, right: DataFrame, on: str, left_order: str, right_order: str) -> DataFrame:
     """Pairs the i-th row of a key on the left with the i-th on the right."""
-    number = lambda df, order: df.withColumn("_pair", F.row_number().over(Window.partitionBy(on).orderBy(order)))
-    return number(left, left_order).join(number(right, right_order), [on, "_pair"]).drop("_pair")
+    (pair,) = spare(left, "pair", also=right.columns)
+    number = lambda df, order: df.withColumn(pair, F.row_number().over(Window.partitionBy(on).orderBy(order)))
+    return number(left, left_order).join(number(right, right_order), [on, pair]).drop(pair)
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -51,8 +53,9 @@ def anti_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> Dat
 
 def contains(probe: DataFrame, build: DataFrame, on: str) -> DataFrame:
     """``probe`` with ``found``: whether the build side has the key (a null key is not found)."""
-    keys = build.select(on).where(F.col(on).isNotNull()).distinct().withColumn("_hit", F.lit(True))
-    return probe.join(keys, on, "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    (hit,) = spare(probe, "hit")
+    keys = build.select(on).where(F.col(on).isNotNull()).distinct().withColumn(hit, F.lit(True))
+    return probe.join(keys, on, "left").withColumn("found", F.coalesce(hit, F.lit(False))).drop(hit)
 
 
 def lookup(probe: DataFrame, build: DataFrame, on: str, row: str, missing: int = -1) -> DataFrame:
@@ -61,18 +64,37 @@ def lookup(probe: DataFrame, build: DataFrame, on: str, row: str, missing: int =
     return probe.join(first, on, "left").withColumn("row_id", F.coalesce("row_id", F.lit(missing).cast("long")))
 
 
-def theta_join(left: DataFrame, right: DataFrame, left_value: str, op: str, right_value: str, limit_rows: int = 100_000) -> DataFrame:
-    """Pairs with ``left_value op right_value`` (eq, lt, le, gt, ge, ne).
+def theta_join(left: DataFrame, right: DataFrame, left_value: str, op: str, right_value: str, limit_rows: int = 100_000, rows: int = RANGE_ROWS) -> DataFrame:
+    """Pairs with ``left_value op right_value`` (eq, lt, le, gt, ge, ne), the columns of both sides; nulls make no pair.
 
-    Equality is an equi join.  The others have a result as large as the product, so one side must be small: its size
-    is checked, and it is broadcast against the other.
+    Equality is an equi join.  Else, if either side has at most ``limit_rows`` rows, it is broadcast.  Two large sides are
+    joined by ranges: the right side is dealt to ranges of its value, and each left row meets only those ranges
+    that can hold a match, all but one of which match whole; so the work follows the result, which may be as large as the product.
     """
-    condition = F.expr(f"_l.{left_value} {THETA[op]} _r.{right_value}")
+    condition = F.expr(f"_l.`{left_value}` {THETA[op]} _r.`{right_value}`")
     if op == "eq":
         return left.alias("_l").join(right.alias("_r"), condition)
-    if right.limit(limit_rows + 1).count() > limit_rows:
-        raise ValueError(f"an inequality join needs a right side of at most {limit_rows} rows; use count_theta or range_join")
-    return left.alias("_l").join(F.broadcast(right).alias("_r"), condition)
+    if right.limit(limit_rows + 1).count() <= limit_rows:
+        return left.alias("_l").join(F.broadcast(right).alias("_r"), condition)
+    if left.limit(limit_rows + 1).count() <= limit_rows:
+        return F.broadcast(left).alias("_l").join(right.alias("_r"), condition)
+    if op == "ne":
+        both = [theta_join(left, right, left_value, x, right_value, limit_rows, rows) for x in ("lt", "gt")]
+        return both[0].union(both[1])
+    dealt = Ranges(right.where(F.col(right_value).isNotNull()), [right_value], rows)
+    ends, to = spare(left, "ends", "to")
+    per = dealt.df.groupBy(dealt.part).agg(F.min(right_value).alias("lo"), F.max(right_value).alias("hi"))
+    table = per.agg(F.sort_array(F.collect_list(F.struct(F.col(dealt.part).alias("part"), "lo", "hi"))).alias(ends))  # a row a range
+    v = F.col(f"`{left_value}`")
+    # ranges are in order, so those with a match are the last ones (lt, le) or the first ones (gt, ge)
+    side, beyond = ("hi", op == "le") if op in ("lt", "le") else ("lo", op == "gt")
+    value = lambda mid: F.element_at(ends, mid)[side]
+    passed = bisect(F.size(ends), 17, lambda mid: (value(mid) < v) if beyond else (value(mid) <= v))
+    some = F.sequence(passed + 1, F.size(ends)) if op in ("lt", "le") else F.sequence(F.lit(1), passed)
+    wanted = F.when(passed < F.size(ends), some) if op in ("lt", "le") else F.when(passed > 0, some)
+    spread = left.where(v.isNotNull()).join(F.broadcast(table)).withColumn(to, F.explode(F.transform(wanted, lambda i: F.element_at(ends, i)["part"])))
+    out = spread.alias("_l").join(dealt.df.alias("_r"), (F.col(f"_l.{to}") == F.col(f"_r.{dealt.part}")) & condition)
+    return out.select(*[F.col(f"_l.`{c}`") for c in left.columns], *[F.col(f"_r.`{c}`") for c in right.columns])
 
 
 def count_theta(left: DataFrame, right: DataFrame, left_value: str, op: str, right_value: str) -> DataFrame:
@@ -90,9 +112,10 @@ def count_theta(left: DataFrame, right: DataFrame, left_value: str, op: str, rig
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
     """Rows of ``points`` in ``[low, high]`` of ``ranges``: an equi join on cells of ``width``, then the exact test.  A range
     is repeated for each cell that it touches; choose ``width`` near the usual length of a range."""
+    (at,) = spare(points, "cell", also=ranges.columns)
     cell = lambda c: F.floor(F.col(c) / width)
-    cells = ranges.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    return points.withColumn("_cell", cell(value)).join(cells, "_cell").where(f"{value} BETWEEN {low} AND {high}").drop("_cell")
+    cells = ranges.where(F.col(low) <= F.col(high)).withColumn(at, F.explode(F.sequence(cell(low), cell(high))))
+    return points.withColumn(at, cell(value)).join(cells, at).where(f"{value} BETWEEN {low} AND {high}").drop(at)
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, value: str, alias: str) -> DataFrame:
@@ -100,11 +123,13 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_
 
     Both sides are put in one stream per key and the last value is carried on: one shuffle by key, no pairs.
     """
-    a = left.withColumn("_t", F.col(left_time)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_row", F.struct(*left.columns))
-    b = right.select(on, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(on).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.select(on, "_t", "_side", "_v", "_row").unionByName(b).withColumn(alias, F.last("_v", ignorenulls=True).over(w))
-    return carried.where("_side = 1").select("_row.*", alias)
+    # the left row is a struct, so no name can clash
+    a = left.select(on, F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[value].dataType).alias("v"), F.struct(*left.columns).alias("row"))
+    b = right.select(on, F.col(right_time).alias("t"), F.lit(0).alias("side"), F.col(value).alias("v"), F.lit(None).cast(a.schema["row"].dataType).alias("row"))
+    both = a.toDF("k", "t", "side", "v", "row").unionByName(b.toDF("k", "t", "side", "v", "row"))
+    w = Window.partitionBy("k").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("last", F.last("v", ignorenulls=True).over(w))
+    return carried.where("side = 1").select("row.*", F.col("last").alias(alias))
 
 
 def count_pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import row_index
+from .ordered import Key, row_index
 
 
 def sort_stable(df: DataFrame, value: str, index: str, ascending: bool = True) -> DataFrame:
@@ -13,10 +13,10 @@ def sort_stable(df: DataFrame, value: str, index: str, ascending: bool = True) -
 
 
 def sort_index(df: DataFrame, value: str, index: str, ascending: bool = True) -> DataFrame:
-    """``(pos, index)``: the permutation that sorts ``value``; equal values keep their order.  Ranges are numbered where
-    they are."""
-    key = F.col(value) if ascending else -F.col(value)
-    return row_index(df.select(key.alias("_key"), F.col(index)), ["_key", index], "pos").select("pos", index)
+    """``(pos, index)``: the permutation that sorts ``value``, of any ordered type; equal values keep their order, nulls come
+    last.  Ranges are numbered where they are."""
+    order = [Key(value, not ascending, True), Key(index)]
+    return row_index(df.select(value, index), order, "pos").select("pos", index)
 
 
 def topk(df: DataFrame, value: str, index: str, k: int, largest: bool = True) -> DataFrame:

@@ -12,22 +12,29 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .ordered import blocks, row_index
+from .ordered import RANGE_ROWS, Ranges, blocks, spare
 
 Agg = Callable[[WindowSpec], Column]
 
 
-def framed(df: DataFrame, order: str, low: int, high: int, made: dict[str, Agg], keys: Sequence[str] = (), full: bool = False, block: int = 1 << 20) -> DataFrame:
+def framed(df: DataFrame, order: str, low: int, high: int, made: dict[str, Agg], keys: Sequence[str] = (), full: bool = False, block: int = 1 << 20, rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with columns ``made`` over the row frame [low, high]; only rows whose frame has all its rows before the
     current one, if ``full``.  ``order`` must be total within ``keys``."""
+    at, home, own = spare(df, "at", "block", "own")
     if keys:
         w = Window.partitionBy(*keys).orderBy(order)
-        out = df.withColumn("_n", F.row_number().over(w)).withColumns({k: f(w.rowsBetween(low, high)) for k, f in made.items()})
-        return (out.where(F.col("_n") > -low) if full else out).drop("_n")
-    at = blocks(row_index(df, [order], "_i"), "_i", max(0, -low), max(0, high), block)
-    w = Window.partitionBy("_block").orderBy("_i").rowsBetween(low, high)
-    out = at.withColumns({k: f(w) for k, f in made.items()}).where("_own")
-    return (out.where(F.col("_i") >= -low) if full else out).drop("_i", "_block", "_own")
+        out = df.withColumn(at, F.row_number().over(w)).withColumns({k: f(w.rowsBetween(low, high)) for k, f in made.items()})
+        return (out.where(F.col(at) > -low) if full else out).drop(at)
+    r = Ranges(df, [order], rows)
+    indexed = r.running(r.df, F.lit(1).cast("long"), at).withColumn(at, F.col(at) - 1)
+    if r.one and block >= rows:  # one range: its window is that of the numbering
+        out = indexed.withColumns({k: f(r.window().rowsBetween(low, high)) for k, f in made.items()})
+    else:
+        cut = blocks(r.done(indexed), at, home, own, max(0, -low), max(0, high), block)
+        w = Window.partitionBy(home).orderBy(at).rowsBetween(low, high)
+        out = cut.withColumns({k: f(w) for k, f in made.items()}).where(own).drop(home, own)
+    out = r.done(out)
+    return (out.where(F.col(at) >= -low) if full else out).drop(at)
 
 
 def rolling(df: DataFrame, value: str, order: str, window: int, what: str = "mean", keys: Sequence[str] = (), alias: str | None = None, q: float = 0.5, block: int = 1 << 20) -> DataFrame:
@@ -70,21 +77,27 @@ def centred(df: DataFrame, value: str, order: str, reach: int, made: Sequence[st
 def value_range(df: DataFrame, value: str, radius: float, keys: Sequence[str] = ()) -> DataFrame:
     """``df`` with range_count, range_sum, range_avg over the rows whose value is within ``radius`` of the row's.
 
-    Without a key the values are dealt to cells of 64 radii; a cell also gets the rows within the radius of its ends.
+    Without a key the values are dealt to cells of 64 radii; a cell also gets the rows within the radius of its ends.  A
+    radius of 0 takes equal values.  A null value is within no radius: its count is 0 and its sum and average are null.
     """
     c = F.col(value)
 
     def over(cells: Sequence[str]) -> dict[str, Column]:
-        frame = f"(PARTITION BY {', '.join(cells)} ORDER BY {value} RANGE BETWEEN {radius}D PRECEDING AND {radius}D FOLLOWING)"
-        return {f"range_{k}": F.expr(f"{k}({value}) OVER {frame}") for k in ("count", "sum", "avg")}
+        by = ", ".join(f"`{x}`" for x in cells)
+        frame = f"(PARTITION BY {by} ORDER BY `{value}` RANGE BETWEEN {float(radius)}D PRECEDING AND {float(radius)}D FOLLOWING)"
+        return {f"range_{k}": F.expr(f"{k}(`{value}`) OVER {frame}") for k in ("count", "sum", "avg")}
 
     if keys:
         return df.withColumns(over(keys))
+    if radius == 0:
+        w = Window.partitionBy(value)
+        return df.withColumns({"range_count": F.count(c).over(w), "range_sum": F.sum(c).over(w), "range_avg": F.avg(c).over(w)})
+    at, cell = spare(df, "home", "cell")
     width = 64 * radius
     home = F.floor(c / width)
     cells = F.array_distinct(F.array(home, F.floor((c - radius) / width), F.floor((c + radius) / width)))
-    at = df.withColumn("_home", home).withColumn("_cell", F.explode(cells))
-    return at.withColumns(over(["_cell"])).where("_cell = _home").drop("_cell", "_home")
+    dealt = df.withColumn(at, home).withColumn(cell, F.explode(cells))
+    return dealt.withColumns(over([cell])).where(F.col(cell).eqNullSafe(F.col(at))).drop(cell, at)
 
 
 def tumbling(df: DataFrame, ts: str, value: str, seconds: int, fill: bool = False, alias: str = "sum", start: int = 0) -> DataFrame:

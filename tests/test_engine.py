@@ -92,6 +92,96 @@ def test_row_index_over_many_ranges(spark):
     assert one(running_sum(df.limit(0), F.lit(1), ["a"], "s").agg(F.count("*"))) == 0
 
 
+def test_order_over_many_ranges_with_nulls_and_directions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 17 == 0 else float("nan") if i % 23 == 0 else float(rng.integers(0, 50)), None if i % 13 == 0 else f"s{rng.integers(0, 40)}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, x double, s string").repartition(6)
+    last = lambda v, down: (v is None, () if v is None else (-1 if down else 1) * (1e9 if isinstance(v, float) and np.isnan(v) else v))
+    for down in (False, True):
+        want = sorted(rows, key=lambda r: (last(r[1], down), r[0]))
+        got = ST.row_index(df.select("x", "id"), [ST.Key("x", down, True), ST.Key("id")], "pos", rows=60).orderBy("pos").collect()
+        assert [r.id for r in got] == [r[0] for r in want] and [r.pos for r in got] == list(range(4000))
+        named = sorted((r for r in rows if r[2]), key=lambda r: r[0])
+        named = sorted(named, key=lambda r: r[2], reverse=down) + sorted((r for r in rows if not r[2]), key=lambda r: r[0])
+        got = ST.row_index(df.select("s", "id"), [ST.Key("s", down, True), ST.Key("id")], "pos", rows=60).orderBy("pos").collect()
+        assert [r.id for r in got] == [r[0] for r in named]
+        assert [r.id for r in ST.sort_index(df, "s", "id", not down).orderBy("pos").collect()] == [r[0] for r in named]
+    assert [r.id for r in ST.sort_index(spark.createDataFrame([(0, -(2**63)), (1, 5)], "id long, v long"), "v", "id", False).orderBy("pos").collect()] == [1, 0]
+
+
+def test_runs_rolling_and_ema_over_many_ranges(spark):
+    rng = np.random.default_rng(5)
+    kinds = [None if k == 3 else f"k{k}" for k in rng.integers(0, 4, 3000).tolist()]
+    df = spark.createDataFrame([(i, k, float(i % 7)) for i, k in enumerate(kinds)], "id long, k string, x double").repartition(5)
+    want = []
+    for i, k in enumerate(kinds):
+        if want and want[-1][0] == k:
+            want[-1][1] += 1
+        else:
+            want.append([k, 1, i])
+    got = A.rle(df, "k", "id", rows=50).orderBy("run").collect()
+    assert [[r.k, r.length, r["first"]] for r in got] == want and [r.run for r in got] == list(range(len(want)))
+    got = W.framed(df, "id", -4, 2, {"s": lambda w: F.sum("x").over(w)}, block=40, rows=50).orderBy("id").collect()
+    assert [r.s for r in got] == [sum(float(j % 7) for j in range(max(0, i - 4), min(3000, i + 3))) for i in range(3000)]
+    order = [f.name for f in ST.row_index(df, ["id"], "n", rows=60).schema]
+    assert order == ["id", "k", "x", "n"]
+
+
+def test_order_searches_cuts_by_halves(spark):
+    """No row is compared with all cuts: the cuts are one broadcast row, and the search has some ten steps."""
+    df = spark.range(100_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("a"), "id")
+    plan = row_index(df, ["a", "id"], rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "aggregate(" in plan and "filter(__cuts" not in plan and "element_at(__cuts" in plan
+    import time
+
+    took = []
+    for rows in (1 << 20, 100, 1 << 20, 100):
+        began = time.perf_counter()
+        assert row_index(df, ["a", "id"], rows=rows).agg(F.sum("row_idx")).first()[0] == 100_000 * 99_999 // 2
+        took.append(time.perf_counter() - began)
+    assert took[3] < 3 * took[2] + 3  # some jobs more; the search itself hardly shows
+
+
+def test_working_columns_leave_the_users_alone(spark):
+    names = ["_v", "_p", "_in", "_o", "_n", "_i", "_block", "_own", "__part", "__at", "__block", "__carry", "__value", "_t", "_side", "_row", "_cell", "_home", "__hit"]
+    df = spark.createDataFrame([(i, float(i), i % 3, *["x"] * len(names)) for i in range(60)], "id long, x double, k int, " + ", ".join(f"`{n}` string" for n in names))
+    for out in (
+        row_index(df, ["id"], rows=7), W.rolling(df, "x", "id", 3, "sum", block=9), W.value_range(df, "x", 2.0), E.delta_encode(df, "x", "id"), J.asof_join(df, df.select("k", F.col("id").alias("z"), F.col("x").alias("y")), "k", "id", "z", "y", "found"),
+        J.contains(df, df.select("k"), "k"), E.frame_of_reference(df, "x"),
+    ):
+        assert all(out.first()[n] == "x" for n in names) and set(out.columns) > set(df.columns)
+
+
+def test_value_range_keeps_nulls_and_takes_radius_0(spark):
+    df = spark.createDataFrame([(0, 1.0, 1), (1, None, 1), (2, 1.5, 1), (3, 900.0, 1), (4, 1.0, 1)], "id int, x double, k int")
+    for radius, want in ((0.5, {0: (3, 3.5), 1: (0, None), 2: (3, 3.5), 3: (1, 900.0), 4: (3, 3.5)}), (0.0, {0: (2, 2.0), 1: (0, None), 2: (1, 1.5), 3: (1, 900.0), 4: (2, 2.0)})):
+        for keys in ((), ("k",)):
+            assert {r.id: (r.range_count, r.range_sum) for r in W.value_range(df, "x", radius, keys).collect()} == want
+
+
+def test_merge_of_states_far_from_0(spark):
+    df = spark.createDataFrame([(i % 7, 1e9 + i % 3, None if i % 2 else "k") for i in range(300)], "part int, x double, k string")
+    merged = A.merge(df.groupBy("part").agg(*A.state("x"))).first()
+    assert merged["count"] == 300 and merged.variance == pytest.approx(np.var([i % 3 for i in range(300)], ddof=1), rel=1e-6)
+    by = {r.k: r.variance for r in A.merge(df.groupBy("k", "part").agg(*A.state("x")), ["k"]).collect()}
+    assert by == pytest.approx({k: np.var([i % 3 for i in range(300) if i % 2 == (k is None)], ddof=1) for k in (None, "k")}, rel=1e-6)
+    assert A.merge(df.limit(0).groupBy("part").agg(*A.state("x")), ["part"]).collect() == []
+
+
+@pytest.mark.parametrize("op", ["lt", "le", "gt", "ge", "ne", "eq"])
+def test_theta_join_of_two_large_sides(spark, op):
+    import operator
+
+    rng = np.random.default_rng(6)
+    a, b = ([None if v == 0 else int(v) for v in rng.integers(0, 25, n)] for n in (60, 90))
+    left, right = (spark.createDataFrame([(i, v) for i, v in enumerate(x)], f"{n} int, {m} int").repartition(3) for x, n, m in ((a, "i", "x"), (b, "j", "y")))
+    want = {(i, j) for i, v in enumerate(a) for j, w in enumerate(b) if v is not None and w is not None and getattr(operator, op)(v, w)}
+    for limit in (1000, 70, 10):
+        got = J.theta_join(left, right, "x", op, "y", limit_rows=limit, rows=8).select("i", "j").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want, limit
+
+
+
 def test_merge_of_parts_equals_whole(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     parts = li.groupBy(F.pmod("l_partkey", F.lit(7))).agg(*A.state("l_quantity"))
@@ -169,3 +259,27 @@ def test_plans(spark, sf):
     assert "TakeOrderedAndProject" in explain.plan(ST.topk(li, "l_extendedprice", "l_orderkey", 5))
     assert not explain.has_python(A.grouped(li, ["l_returnflag"], "l_quantity")) and explain.exchanges(A.grouped(li, ["l_returnflag"], "l_quantity")) == 1
     assert explain.metrics(li.limit(5)).first()["rows"] == 5
+
+
+def test_one_series_of_prices_needs_no_symbol_and_no_single_task(spark):
+    rng = np.random.default_rng(8)
+    price = 99 + np.abs(np.cumsum(rng.normal(0, 1, 9000)))
+    df = spark.createDataFrame([(i, float(p), 1.0) for i, p in enumerate(price)], "ts long, price double, volume double").repartition(4)
+    m = M.MarketData(df)
+    want, s = [], None
+    for p in price.tolist():
+        s = p if s is None else p * 2 / 21 + s * (1 - 2 / 21)
+        want.append(s)
+    for rows in (1 << 18, 500):
+        got = M.ema(df, 20, rows=rows).orderBy("ts").collect()
+        assert np.allclose([r.ema for r in got], want, rtol=1e-12)
+    two = df.withColumn("symbol", F.lit("a")).unionByName(df.where("ts < 50").withColumn("symbol", F.lit(None).cast("string")))
+    got = {(r.symbol, r.ts): r.ema for r in M.ema(two, 20, rows=700).collect()}
+    assert len(got) == 9050 and all(abs(got["a", i] - want[i]) < 1e-9 for i in range(9000)) and all(abs(got[None, i] - want[i]) < 1e-9 for i in range(50))
+    top = np.maximum.accumulate(price)
+    assert M.max_drawdown(df, rows=400).first()[0] == pytest.approx(((price - top) / top).min())
+    assert one(m.sum()) == pytest.approx(price.sum()) and one(m.mean()) == pytest.approx(price.mean())
+    assert one(m.count_above(100.0)) == (price > 100).sum() and one(m.sum_above(100.0)) == pytest.approx(price[price > 100].sum())
+    assert m.rolling_mean(10).count() == 8991 and m.log_returns().count() == 8999 and m.var(50, 0.95).count() == 8950
+    assert m.stats().count() == 1 and "symbol" not in m.stats().columns
+    assert len(m.time_ohlc(3600).columns) == 6 and m.resample_ohlc(100).count() == 90
