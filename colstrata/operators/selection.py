@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import row_index
+
 
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
@@ -82,3 +84,19 @@ def content_hash(df: DataFrame, *columns: str) -> DataFrame:
     """``(rows, hash)``: an order-free hash of the rows."""
     h = F.xxhash64(*(columns or df.columns)).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.sum(h).alias("hash"))
+
+
+def compare(a: str | Column, b: str | Column) -> Column:
+    """-1, 0 or 1: the order of two arrays by their first different elements, then by length."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0).cast("int")
+
+
+def compare_series(a: DataFrame, b: DataFrame, value: str, order: str) -> DataFrame:
+    """``(sign)``: -1, 0 or 1, the order of two columns by their first different values, then by length.  Values are put
+    side by side by their numbers in ``order``; only the first difference is kept on the way."""
+    x = row_index(a.select(order, F.struct(F.col(value).alias("v")).alias("x")), [order], "at").drop(order)
+    y = row_index(b.select(order, F.struct(F.col(value).alias("v")).alias("y")), [order], "at").drop(order)
+    sign = F.when(F.col("x").isNull(), -1).when(F.col("y").isNull(), 1).when(F.col("x") < F.col("y"), -1).when(F.col("x") > F.col("y"), 1).otherwise(0)
+    both = x.join(y, "at", "full").withColumn("sign", sign).where("sign <> 0")
+    return both.agg(F.coalesce(F.min_by("sign", "at"), F.lit(0)).cast("int").alias("sign"))

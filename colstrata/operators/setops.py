@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def union_all(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -27,3 +30,10 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def difference_all(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b.select(a.columns))
+
+
+def hash_partition(df: DataFrame, key: str, parts: int, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """``df`` with ``part``, 0 to ``parts`` - 1, the same for equal keys, and dealt to as many Spark partitions by it, so that
+    what follows by key needs no other shuffle."""
+    part = F.pmod(hashed(F.col(key)), F.lit(parts)).cast("int")
+    return df.withColumn("part", part).repartition(parts, "part")

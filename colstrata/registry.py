@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,6 +24,7 @@ from .operators import windows as W
 from .operators.frame import Frame, filter_and_count, filter_and_sum, group_sum
 from .operators.ordered import row_index
 from .plans.sql import execute
+from .sources import readers as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,11 +191,59 @@ def count_matching(t):
     return t.events.agg(F.count("*").alias("a"), F.count_if(F.col("value") > 100).alias("above"), F.count_if(F.col("value") == 10).alias("equal"))
 
 
-@query("SELECT true AS same_rows, false AS same_other")
+@query(
+    "SELECT (SELECT count(*) FROM (SELECT event_id, value FROM events EXCEPT ALL SELECT event_id, value FROM (SELECT * FROM events ORDER BY value DESC))) = 0 AS same_rows,"
+    " (SELECT count(*) FROM (SELECT event_id, value FROM events EXCEPT ALL SELECT event_id, value FROM events WHERE event_id > 5)) = 0 AS same_other,"
+    " (SELECT count(*) FROM (SELECT user_id FROM events EXCEPT ALL SELECT DISTINCT user_id FROM events)) = 0 AS same_distinct"
+)
 def equals_tables(t):
-    a = t.events.select("event_id", "value")
-    flags = [(X.same(a, a.orderBy(F.desc("value"))), X.same(a, a.where("event_id > 5")))]
-    return t.spark.createDataFrame(flags, "same_rows boolean, same_other boolean")
+    a, u = t.events.select("event_id", "value"), t.events.select("user_id")
+    flags = [(X.same(a, a.orderBy(F.desc("value"))), X.same(a, a.where("event_id > 5")), X.same(u, u.distinct()))]
+    return t.spark.createDataFrame(flags, "same_rows boolean, same_other boolean, same_distinct boolean")
+
+
+@query("SELECT event_type, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS sign FROM (SELECT event_type, list(value ORDER BY event_id) AS a, list(value ORDER BY value, event_id) AS b FROM events GROUP BY event_type)")
+def compare_arrays(t):
+    by = F.sort_array(F.collect_list(F.struct("event_id", "value")))
+    lists = t.events.groupBy("event_type").agg(F.transform(by, lambda x: x["value"]).alias("a"), F.sort_array(F.collect_list("value")).alias("b"))
+    return lists.select("event_type", X.compare("a", "b").alias("sign"))
+
+
+@query(
+    "SELECT CAST(CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS INTEGER) AS by_kind, CAST(CASE WHEN a < a[:len(a) - 1] THEN -1 WHEN a > a[:len(a) - 1] THEN 1 ELSE 0 END AS INTEGER) AS longer FROM"
+    " (SELECT list(value ORDER BY event_id) FILTER (WHERE event_type = 'click') AS a, list(value ORDER BY event_id) FILTER (WHERE event_type = 'view') AS b FROM events)"
+)
+def compare_series(t):
+    e = t.events.select("event_type", "event_id", "value")
+    a, b = e.where("event_type = 'click'"), e.where("event_type = 'view'")
+    last = a.agg(F.max("event_id").alias("last"))
+    shorter = a.join(F.broadcast(last)).where("event_id < last")  # one row
+    one = X.compare_series(a, b, "value", "event_id").withColumnRenamed("sign", "by_kind")
+    return one.join(X.compare_series(a, shorter, "value", "event_id").withColumnRenamed("sign", "longer"))  # one row each
+
+
+@query("SELECT CAST(o_custkey % 16 AS INTEGER) AS part, count(*) AS n, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY 1")
+def hash_partition(t):
+    dealt = SO.hash_partition(t.orders, "o_custkey", 16, lambda key: key)
+    return dealt.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("keys"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS keys, true AS whole, 16 AS parts FROM orders")
+def hash_partition_keys(t):
+    dealt = SO.hash_partition(t.orders, "o_custkey", 16)
+    per = dealt.groupBy("o_custkey").agg(F.count("*").alias("rows"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    return per.agg(F.sum("rows").alias("n"), F.count("*").alias("keys"), F.bool_and(F.col("lo") == F.col("hi")).alias("whole"), F.count_distinct("lo").cast("int").alias("parts"))
+
+
+@query("SELECT event_id, value, row_number() OVER (ORDER BY event_id DESC) AS place FROM events ORDER BY event_id DESC LIMIT 50")
+def reverse_rows(t):
+    last = X.reverse(t.events.select("event_id", "value"), "event_id").limit(50)
+    return last.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("event_id"))).cast("long"))  # fifty rows
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE abs(l_discount * 3 - l_tax) < 0.0001")
+def near_equal(t):
+    return t.lineitem.where(J.equal_expr(F.col("l_discount") * 3, F.col("l_tax"), 1e-4)).agg(F.count("*").alias("n"))
 
 
 # ---- aggregates
@@ -434,6 +484,9 @@ for _op, _sql in J.THETA.items():
     query(f"SELECT n_nationkey, r_regionkey FROM nation, region WHERE n_nationkey {_sql} r_regionkey * 5", f"join_theta_{_op}")(
         lambda t, op=_op: J.theta_join(t.nation, t.region.withColumn("v", F.col("r_regionkey") * 5), "n_nationkey", op, "v").select("n_nationkey", "r_regionkey")
     )
+    query(f"SELECT p_partkey, count(*) AS n, min(s_suppkey) AS lo, max(s_suppkey) AS hi FROM part, supplier WHERE p_retailprice {_sql} s_acctbal GROUP BY p_partkey", f"join_theta_ranges_{_op}")(
+        lambda t, op=_op: J.theta_join(t.part, t.supplier, "p_retailprice", op, "s_acctbal", 10, 16).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("lo"), F.max("s_suppkey").alias("hi"))
+    )
     query(f"SELECT count(*) AS pairs FROM (SELECT s_acctbal FROM supplier), (SELECT p_retailprice FROM part) WHERE s_acctbal {_sql} p_retailprice", f"join_theta_count_{_op}")(
         lambda t, op=_op: J.count_theta(t.supplier, t.part, "s_acctbal", op, "p_retailprice")
     )
@@ -590,17 +643,18 @@ def fn_vec_compare(t):
     return ints(t).select("a", (a == b).alias("eq"), (a != b).alias("ne"), (a < b).alias("lt"), (a <= b).alias("le"), (a > b).alias("gt"), (a >= b).alias("ge"))
 
 
-@query("SELECT count(*) FILTER (WHERE l_discount = 0) AS missing, count(*) FILTER (WHERE l_discount <> 0) AS present, count(*) FILTER (WHERE l_discount > 0.05) AS above, count(*) AS finite_or_not FROM lineitem")
+@query("SELECT count(*) FILTER (WHERE l_discount = 0) AS missing, count(*) FILTER (WHERE l_discount <> 0) AS present, count(*) FILTER (WHERE l_discount > 0.05) AS above, count(*) FILTER (WHERE l_discount <> 0) AS finite FROM lineitem")
 def fn_isnan(t):
     d = t.lineitem.select(F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col("l_discount")).alias("d"))
     above = Frame(d, "d").filter_gt(0.05).count().run().withColumnRenamed("count", "above")
-    return d.agg(F.count_if(S.missing("d")).alias("missing"), F.count_if(S.present("d")).alias("present"), F.count_if(S.is_finite("d") | F.isnan("d")).alias("finite_or_not")).join(F.broadcast(above))
+    return d.agg(F.count_if(S.missing("d")).alias("missing"), F.count_if(S.present("d")).alias("present"), F.count_if(S.is_finite("d")).alias("finite")).join(F.broadcast(above))
 
 
-@query("SELECT event_id, CASE WHEN value > 200 THEN NULL WHEN value > 100 THEN 1 ELSE 2 END AS lo_is, value > 100 AS hi_known FROM events".replace("CASE WHEN value > 200 THEN NULL WHEN value > 100 THEN 1 ELSE 2 END AS lo_is", "value > 100 AS lo_nan"))
+@query("SELECT event_id, CASE WHEN value > 100 THEN NULL ELSE least(value, 5) END AS lo, CASE WHEN value > 100 THEN value ELSE greatest(value, 5) END AS hi, value > 100 AS lo_nan FROM events")
 def fn_nan_min_max(t):
     v = t.events.select("event_id", "value", F.when(F.col("value") > 100, F.lit(float("nan"))).otherwise(F.lit(5.0)).alias("n"))
-    return v.select("event_id", F.isnan(S.vec_min("value", "n")).alias("lo_nan"), ((S.vec_max("value", "n") == F.col("value")) & F.isnan("n")).alias("hi_known"))
+    lo = S.vec_min("value", "n")
+    return v.select("event_id", F.when(~F.isnan(lo), lo).alias("lo"), S.vec_max("value", "n").alias("hi"), F.isnan(lo).alias("lo_nan"))
 
 
 @query(
@@ -613,26 +667,52 @@ def fn_string(t):
     )
 
 
-@query("SELECT vec_id, embedding[1] AS first, embedding[len(embedding)] AS last, CAST(coalesce(embedding[10000], 0) AS DOUBLE) AS past, list_reverse(embedding)[1] AS rev, embedding[3] AS even1, embedding[4] AS odd1, embedding[5] AS rot0, embedding[2] AS perm0 FROM embeddings")
+def lanes(a):
+    """A number that changes with any lane of an array: the lanes weighted by their places."""
+    return F.round(F.aggregate(F.transform(a.cast("array<double>"), lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x) + 1e-9, 5)
+
+
+def lanes_sql(a: str) -> str:
+    return f"round(list_sum(list_transform({a}, lambda x, i: CAST(x AS DOUBLE) * i)) + 1e-9, 5)"
+
+
+@query(
+    "SELECT vec_id, embedding[1] AS first, embedding[len(embedding)] AS last, CAST(coalesce(embedding[10000], 0) AS DOUBLE) AS past, "
+    + ", ".join(f"{lanes_sql(x)} AS {n}" for n, x in {"rev": "list_reverse(embedding)", "even": "list_filter(embedding, lambda x, i: i % 2 = 1)", "odd": "list_filter(embedding, lambda x, i: i % 2 = 0)", "rot": "embedding[5:] || embedding[:4]", "perm": "[embedding[2], embedding[1], embedding[7]]"}.items())
+    + " FROM embeddings"
+)
 def fn_array(t):
     e = t.embeddings.select("vec_id", F.col("embedding").alias("v"))
     return e.select(
-        "vec_id", F.get("v", F.lit(0)).alias("first"), F.element_at("v", -1).alias("last"), S.lane(F.col("v").cast("array<double>"), 9999).alias("past"), F.reverse("v")[0].alias("rev"),
-        S.lanes_even("v")[1].alias("even1"), S.lanes_odd("v")[1].alias("odd1"), S.rotate_lanes("v", 4)[0].alias("rot0"), S.permute("v", F.array(F.lit(1), F.lit(0)))[0].alias("perm0"),
+        "vec_id", F.get("v", F.lit(0)).alias("first"), F.element_at("v", -1).alias("last"), S.lane(F.col("v").cast("array<double>"), 9999).alias("past"), lanes(F.reverse("v")).alias("rev"),
+        lanes(S.lanes_even("v")).alias("even"), lanes(S.lanes_odd("v")).alias("odd"), lanes(S.rotate_lanes("v", 4)).alias("rot"), lanes(S.permute("v", F.array(F.lit(1), F.lit(0), F.lit(6)))).alias("perm"),
     )
 
 
-@query("SELECT vec_id, CAST(9 AS DOUBLE) AS set2, CAST(embedding[4] AS DOUBLE) AS slid0, CAST(0 AS DOUBLE) AS slid_last FROM embeddings")
+@query(f"SELECT vec_id, {lanes_sql('embedding[:2] || [CAST(9 AS FLOAT)] || embedding[4:]')} AS set, {lanes_sql('embedding[4:] || [CAST(0 AS FLOAT), 0, 0]')} AS slid, CAST(len(embedding) AS INTEGER) AS size FROM embeddings")
 def fn_array_update(t):
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return e.select("vec_id", S.lane_set("v", 2, 9.0)[2].alias("set2"), S.slide_lanes("v", 3)[0].alias("slid0"), F.element_at(S.slide_lanes("v", 3), -1).alias("slid_last"))
+    return e.select("vec_id", lanes(S.lane_set("v", 2, 9.0)).alias("set"), lanes(S.slide_lanes("v", 3)).alias("slid"), F.size(S.slide_lanes("v", 3)).alias("size"))
+
+
+@query("SELECT event_id, CAST(event_id & 3 AS BIGINT) AS a, CAST(event_id | 8 AS BIGINT) AS o, CAST(xor(event_id, 5) AS BIGINT) AS x, CAST(event_id & (-1 - 6) AS BIGINT) AS an, CAST(event_id << 2 AS BIGINT) AS l, CAST(event_id >> 1 AS BIGINT) AS r FROM events")
+def fn_vector_bits(t):
+    pair = t.events.select("event_id", F.array(F.col("event_id"), F.lit(1).cast("long")).alias("v"))
+    first = lambda f: F.transform("v", f)[0]
+    return pair.select(
+        "event_id", first(lambda x: x.bitwiseAND(F.lit(3).cast("long"))).alias("a"), first(lambda x: x.bitwiseOR(F.lit(8).cast("long"))).alias("o"), first(lambda x: x.bitwiseXOR(F.lit(5).cast("long"))).alias("x"),
+        first(lambda x: x.bitwiseAND(F.lit(~6).cast("long"))).alias("an"), first(lambda x: F.shiftleft(x, 2)).alias("l"), first(lambda x: F.shiftright(x, 1)).alias("r"),
+    )
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT event_id) AS distinct_ids, true AS same_hash FROM events")
+@query("SELECT count(*) AS rows, count(DISTINCT event_id) AS distinct_ids, count(DISTINCT value) AS distinct_values, (SELECT count(*) FROM (SELECT value FROM events EXCEPT ALL SELECT value FROM (SELECT * FROM events ORDER BY value))) = 0 AS same_hash, (SELECT count(*) FROM (SELECT event_id, value FROM events EXCEPT ALL SELECT event_id, CASE WHEN event_id = 7 THEN value + 1 ELSE value END FROM events)) = 0 AS same_changed FROM events")
 def fn_hash(t):
     e = t.events.select("event_id", "value")
     a, b = X.content_hash(e).withColumnsRenamed({"rows": "n1", "hash": "h1"}), X.content_hash(e.orderBy("value")).withColumnsRenamed({"rows": "n2", "hash": "h2"})
-    return e.agg(F.count("*").alias("rows"), F.count_distinct(F.xxhash64("event_id")).alias("distinct_ids")).join(F.broadcast(a)).join(F.broadcast(b)).select("rows", "distinct_ids", (F.col("h1") == F.col("h2")).alias("same_hash"))
+    c = X.content_hash(e.withColumn("value", F.when(F.col("event_id") == 7, F.col("value") + 1).otherwise(F.col("value")))).withColumnsRenamed({"rows": "n3", "hash": "h3"})
+    counts = e.agg(F.count("*").alias("rows"), F.count_distinct(F.xxhash64("event_id")).alias("distinct_ids"), F.count_distinct(F.xxhash64("value")).alias("distinct_values"))
+    whole = counts.join(F.broadcast(a)).join(F.broadcast(b)).join(F.broadcast(c))  # one row each
+    return whole.select("rows", "distinct_ids", "distinct_values", (F.col("h1") == F.col("h2")).alias("same_hash"), (F.col("h1") == F.col("h3")).alias("same_changed"))
 
 
 # ---- windows; a tiny shift before rounding keeps exact ties from falling to either side
@@ -645,7 +725,7 @@ def series(t) -> DataFrame:
 WSQL = {"sum": "sum(value)", "mean": "avg(value)", "min": "min(value)", "max": "max(value)", "stddev": "stddev_pop(value)", "variance": "var_pop(value)", "quantile": "quantile_cont(value, 0.3)"}
 for _what, _sql in WSQL.items():
     query(f"SELECT event_id, round(w + 1e-7, 3) AS {_what} FROM (SELECT event_id, {_sql} OVER (ORDER BY event_id ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS w, row_number() OVER (ORDER BY event_id) AS n FROM events) WHERE n >= 14", f"win_{_what}")(
-        lambda t, w=_what: W.rolling(series(t).select("event_id", "value"), "value", "event_id", 14, w, q=0.3, block=4096).select("event_id", F.round(F.col(w) + 1e-7, 3).alias(w))
+        lambda t, w=_what: W.rolling(series(t).select("event_id", "value"), "value", "event_id", 14, w, q=0.3).select("event_id", F.round(F.col(w) + 1e-7, 3).alias(w))
     )
 
 
@@ -862,6 +942,187 @@ def zone_map(t):
     return E.zone_map(t.events, "value", F.floor(F.col("event_id") / 1000))
 
 
+# ---- nulls and NaN
+
+
+def holed(t) -> DataFrame:
+    """Events whose value is null where it is below 20, and whose name is null for clicks."""
+    return t.events.select("event_id", F.expr("CASE WHEN value >= 20 THEN value END").alias("value"), F.expr("nullif(event_type, 'click')").alias("kind"))
+
+
+HOLED = "(SELECT event_id, CASE WHEN value >= 20 THEN value END AS value, nullif(event_type, 'click') AS kind FROM events)"
+for _asc, _word in ((True, "ASC"), (False, "DESC")):
+    query(f"SELECT row_number() OVER (ORDER BY value {_word} NULLS LAST, event_id) - 1 AS pos, event_id FROM {HOLED}", f"nulls_sort_index_{_word.lower()}")(lambda t, a=_asc: ST.sort_index(holed(t), "value", "event_id", a))
+    query(f"SELECT row_number() OVER (ORDER BY kind {_word} NULLS LAST, event_id) - 1 AS pos, event_id FROM {HOLED}", f"nulls_sort_strings_{_word.lower()}")(lambda t, a=_asc: ST.sort_index(holed(t), "kind", "event_id", a))
+    query(f"SELECT event_id, value, row_number() OVER (ORDER BY value {_word} NULLS LAST, event_id) AS place FROM {HOLED} ORDER BY value {_word} NULLS LAST, event_id LIMIT 400", f"nulls_sort_stable_{_word.lower()}")(
+        lambda t, a=_asc: ST.row_index(ST.sort_stable(holed(t).select("event_id", "value"), "value", "event_id", a).limit(400), [ST.Key("value", not a, True), ST.Key("event_id")], "place").withColumn("place", F.col("place") + 1)
+    )
+
+
+@query(f"SELECT event_id, count(value) OVER w AS range_count, round(sum(value) OVER w + 1e-7, 3) AS range_sum, round(avg(value) OVER w + 1e-7, 3) AS range_avg FROM {HOLED} WINDOW w AS (ORDER BY value RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING)")
+def nulls_win_range(t):
+    return W.value_range(holed(t), "value", 0.5).select("event_id", "range_count", F.round(F.col("range_sum") + 1e-7, 3).alias("range_sum"), F.round(F.col("range_avg") + 1e-7, 3).alias("range_avg"))
+
+
+@query(f"SELECT event_id, count(value) OVER w AS range_count, round(sum(value) OVER w, 4) AS range_sum FROM {HOLED} WINDOW w AS (PARTITION BY value)")
+def nulls_win_range_equal(t):
+    return W.value_range(holed(t), "value", 0.0).select("event_id", "range_count", F.round("range_sum", 4).alias("range_sum"))
+
+
+@query(f"SELECT event_id, round(s, 4) AS sum FROM (SELECT event_id, sum(value) OVER (ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS s, row_number() OVER (ORDER BY event_id) AS n FROM {HOLED}) WHERE n >= 7")
+def nulls_win_sum(t):
+    return W.rolling(holed(t), "value", "event_id", 7, "sum", block=700).select("event_id", F.round("sum", 4).alias("sum"))
+
+
+@query(f"SELECT CAST(run AS BIGINT) AS run, kind, count(*) AS length, min(event_id) AS first FROM (SELECT *, sum(f) OVER (ORDER BY event_id) - 1 AS run FROM (SELECT *, CASE WHEN kind IS NOT DISTINCT FROM lag(kind) OVER (ORDER BY event_id) AND row_number() OVER (ORDER BY event_id) > 1 THEN 0 ELSE 1 END AS f FROM {HOLED})) GROUP BY run, kind")
+def nulls_runs(t):
+    return A.rle(holed(t), "kind", "event_id", rows=900)
+
+
+@query(f"SELECT kind, count(*) AS n, count(value) AS known, round(sum(value), 4) AS sum, round(coalesce(var_samp(value), 0), 4) AS var FROM {HOLED} GROUP BY kind")
+def nulls_group(t):
+    return holed(t).groupBy("kind").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.round(F.sum("value"), 4).alias("sum"), F.round(A.samp_var("value"), 4).alias("var"))
+
+
+@query("SELECT event_type, count(*) AS count, round(avg(1000000000 + value), 4) AS mean, round(var_samp(value), 2) AS variance FROM events GROUP BY event_type")
+def merge_far_from_0(t):
+    far = t.events.withColumn("x", F.col("value") + 1e9)
+    parts = far.groupBy("event_type", F.pmod("event_id", F.lit(17)).alias("part")).agg(*A.state("x"))
+    return A.merge(parts, ["event_type"]).select("event_type", "count", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"))
+
+
+@query("SELECT kind, l.n * r.n AS pairs FROM (SELECT kind, count(*) AS n FROM " + HOLED + " GROUP BY kind) l JOIN (SELECT kind, count(*) AS n FROM " + HOLED + " WHERE value > 100 GROUP BY kind) r USING (kind)")
+def nulls_join_pairs(t):
+    h = holed(t)
+    a, b = h.groupBy("kind").agg(F.count("*").alias("l")), h.where("value > 100").groupBy("kind").agg(F.count("*").alias("r"))
+    return J.hash_join(a, b, "kind").select("kind", (F.col("l") * F.col("r")).alias("pairs"))
+
+
+# ---- sources and sinks
+
+
+def _folder(t) -> str:
+    return f"{_scratch(t.spark)}/io-{uuid.uuid4().hex}"
+
+
+@query("SELECT count(*) AS n, round(sum(value), 2) AS sum, count(*) FILTER (WHERE value > 100) AS above FROM events WHERE event_id % 10 <> 3")
+def csv_column(t):
+    """One numeric column of CSV files, some cells of which are no numbers."""
+    folder = _folder(t)
+    cell = F.when(F.col("event_id") % 10 == 3, F.lit("n/a")).otherwise(F.format_string("%.6f", "value"))
+    t.events.select("event_id", cell.alias("v")).write.option("header", True).csv(folder)
+    return R.load_csv(t.spark, folder, "v").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("sum"), F.count_if(F.col("x") > 100).alias("above"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS sum FROM events WHERE value > 25 GROUP BY event_type")
+def sql_over_csv(t):
+    folder = _folder(t)
+    t.events.select("event_type", F.format_string("%.6f", "value").alias("value")).write.option("header", True).csv(folder)
+    return execute(t.spark, "SELECT event_type, count(*) AS n, round(sum(CAST(value AS DOUBLE)), 2) AS sum FROM csv WHERE CAST(value AS DOUBLE) > 25 GROUP BY event_type", {"csv": t.spark.read.option("header", True).csv(folder)})
+
+
+@query("SELECT CAST(floor(i / 1000) AS BIGINT) AS chunk, count(*) AS n, CAST(sum(i * 0.25) AS DOUBLE) AS sum, (SELECT CAST(sum(j * 0.25) AS DOUBLE) FROM range(5000) r(j)) AS total, (SELECT count(*) FROM range(5000) r(j) WHERE j * 0.25 > 600) AS above, 5000 AS size FROM range(5000) r(i) GROUP BY 1")
+def raw_file(t):
+    """A file of doubles, whole and in chunks."""
+    path = f"{_folder(t)}/x.f64"
+    R.write_raw(t.spark, path, np.arange(5000) * 0.25)
+    large = R.LargeData.from_file(t.spark, path)
+    return large.chunked_sum(1000).select("chunk", "n", "sum", F.lit(large.sum()).alias("total"), F.lit(large.count_above(600.0)).cast("long").alias("above"), F.lit(len(large)).alias("size"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY o_orderstatus")
+def parquet_round_trip(t):
+    """A table written in parts by a column, read back with two columns; the filter prunes parts."""
+    folder = _folder(t)
+    R.write_parquet(t.orders, folder, "o_orderstatus")
+    return R.load_parquet(t.spark, folder, "o_orderkey", "o_orderstatus").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+
+
+@query("SELECT name, n AS rows, form FROM (SELECT 'orders' AS name, count(*) AS n FROM orders), (SELECT unnest(['json', 'csv']) AS form)")
+def metrics_round_trip(t):
+    """Run metrics of a query, written as JSON lines and as CSV and read back."""
+    from .plans.explain import metrics
+
+    folder, found = _folder(t), metrics(t.orders, "orders")
+    for form in ("json", "csv"):
+        R.write_metrics(found, f"{folder}/{form}", form)
+    kind = "name string, rows long, seconds double"
+    back = t.spark.read.schema(kind + ", tasks long, bytes_read long, shuffle_bytes long, spill_bytes long")
+    both = back.json(f"{folder}/json").withColumn("form", F.lit("json")).unionByName(back.option("header", True).csv(f"{folder}/csv").withColumn("form", F.lit("csv")))
+    return both.where("seconds > 0").select("name", "rows", "form")
+
+
+@query("SELECT (SELECT CAST(sum(j * 0.5) AS DOUBLE) FROM range(2500) r(j) WHERE j * 0.5 > 400) AS sum, (SELECT count(*) FROM range(2500) r(j) WHERE j * 0.5 > 400) AS count, (SELECT CAST(sum(j * 0.5) AS DOUBLE) FROM range(1000) r(j) WHERE j * 0.5 > 400) AS early")
+def feed_flush(t):
+    """Arrays fed to a running sum, flushed twice; the second flush adds what came after the first."""
+    from .streaming.streams import Feed
+
+    feed = Feed(t.spark, _folder(t), 400.0)
+    feed.feed(np.arange(0, 600) * 0.5)
+    feed.feed(np.arange(600, 1000) * 0.5)
+    early = feed.flush()[0]
+    feed.feed(np.arange(1000, 2500) * 0.5)
+    total, count = feed.flush()
+    return t.spark.createDataFrame([(total, count, early)], "sum double, count long, early double")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS sum FROM events WHERE value > 10 GROUP BY event_type")
+def stream_to_files(t):
+    from .streaming import streams
+
+    folder = _folder(t)
+    e = t.events.select("event_id", "event_type", "ts", "value")
+    e.repartitionByRange(3, "ts").write.parquet(f"{folder}/in")
+    streams.run_to_files(streams.source(t.spark, f"{folder}/in", e).where("value > 10"), f"{folder}/out", f"{folder}/checkpoint")
+    return t.spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("sum"))
+
+
+@query("SELECT count(*) AS n, round(sum(value), 2) AS sum FROM events")
+def stream_batches(t):
+    """A user function on every micro-batch: each writes its own part, under the batch's number."""
+    from .streaming import streams
+
+    folder = _folder(t)
+    e = t.events.select("event_id", "ts", "value")
+    e.repartitionByRange(3, "ts").write.parquet(f"{folder}/in")
+    streams.for_each_batch(streams.source(t.spark, f"{folder}/in", e), lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}"), f"{folder}/checkpoint")
+    return t.spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("sum"))
+
+
+# ---- one market series
+
+
+@query("SELECT round(sum(price), 4) AS sum, round(avg(price), 6) AS mean, count(*) FILTER (WHERE price > 100) AS above, round(sum(price) FILTER (WHERE price > 100), 4) AS sum_above FROM (SELECT value AS price FROM events WHERE value > 0)")
+def mkt_sums(t):
+    m = M.MarketData(ticks(t).drop("symbol"), "event_id")
+    one = m.sum().join(m.mean()).join(m.count_above(100.0)).join(m.sum_above(100.0))  # one row each
+    return one.select(F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"), F.col("count_above").alias("above"), F.round("sum_above", 4).alias("sum_above"))
+
+
+@query("SELECT event_id, round(w, 5) AS mean FROM (SELECT event_id, avg(value) OVER (ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS w, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE value > 0) WHERE n >= 10")
+def mkt_series_rolling(t):
+    return M.MarketData(ticks(t).drop("symbol"), "event_id").rolling_mean(10).select("event_id", F.round("mean", 5).alias("mean"))
+
+
+@query("SELECT event_id, round(ln(value / p), 6) AS ret FROM (SELECT event_id, value, lag(value) OVER (ORDER BY event_id) AS p FROM events WHERE value > 0) WHERE p IS NOT NULL")
+def mkt_series_log_returns(t):
+    return M.MarketData(ticks(t).drop("symbol"), "event_id").log_returns().select("event_id", F.round("ret", 6).alias("ret"))
+
+
+@query(
+    "WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY event_id) AS n, event_id, value FROM events WHERE value > 0), e AS (SELECT n, event_id, value AS ema FROM p WHERE n = 1 UNION ALL SELECT p.n, p.event_id, p.value * 2 / 11 + e.ema * 9 / 11 FROM e JOIN p ON p.n = e.n + 1 WHERE p.n <= 3000) SELECT event_id, round(ema, 5) AS ema FROM e"
+)
+def mkt_series_ema(t):
+    first = ticks(t).drop("symbol")
+    head = first.orderBy("event_id").limit(3000)  # the SQL beside it goes row by row
+    return M.ema(head, 10, "event_id").select("event_id", F.round("ema", 5).alias("ema"))
+
+
+@query("SELECT round(min(value / top - 1), 6) AS max_drawdown FROM (SELECT value, max(value) OVER (ORDER BY event_id) AS top FROM events WHERE value > 0)")
+def mkt_series_drawdown(t):
+    return M.max_drawdown(ticks(t).drop("symbol"), "event_id", 700).withColumn("max_drawdown", F.round("max_drawdown", 6))
+
+
 # ---- SQL entry point
 
 
@@ -933,8 +1194,11 @@ def _streamed(t, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder that all executors share; a local one only where no cluster folder is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/colstrata").rstrip("/")
+    """A folder that all executors share; a local one only on a local master where no cluster folder is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or f"file://{tempfile.gettempdir()}/colstrata").rstrip("/")
 
 
 @query("SELECT round(sum(value), 4) AS sum, count(*) AS count FROM events WHERE value > 50")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["from_array", "from_list", "from_numpy", "load_csv", "load_parquet", "raw_f64", "LargeData", "write_metrics", "write_parquet"]
+__all__ = ["from_array", "from_list", "from_numpy", "load_csv", "load_parquet", "raw_f64", "LargeData", "write_metrics", "write_parquet", "write_raw"]
 
 
 def load_parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -106,6 +106,14 @@ def write_parquet(df: DataFrame, path: str, *partition: str, mode: str = "errori
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
+def write_raw(spark: SparkSession, path: str, values: np.ndarray) -> None:
+    """An array that the driver holds as a headerless file of little-endian doubles; the file must be new."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, False)
+    out.write(bytearray(np.ascontiguousarray(values, dtype="<f8").tobytes()))
+    out.close()
+
+
 def write_metrics(metrics: DataFrame, path: str, form: str = "json") -> None:
     """A table of metrics (see plans.metrics) as JSON lines or CSV."""
     if form not in ("json", "csv"):
