@@ -83,30 +83,22 @@ def _exponential(df: DataFrame, value: str, span: int, alias: str, index: str) -
     """``df`` with the exponential average of ``value``, alpha = 2 / (span + 1), over rows numbered from 0 in ``index`` within a
     symbol; it starts with the first value.
 
-    An average is an affine map of the one before, so a block's averages are sums of weighted values, all at once, and
-    what goes into the block from before is its predecessor's last average, faded.  Blocks are so long that what
-    comes from two blocks before has faded below any digit (10 ** -100); each is a window of its own.
+    An average is an affine map of the one before, so the averages of a block are sums of weighted values, all at once.
+    What goes in from before a block fades; blocks are so long that it has faded below any digit (10 ** -50) a block later, so
+    each is a window of its own over its rows and those of the block before.
     """
     q = 1 - 2 / (span + 1)
     if q <= 0:
         return df.withColumn(alias, F.col(value).cast("double"))
-    size = max(2, math.ceil(100 * math.log(10) / -math.log(q)))
-    block, weight, last, b2 = spare(df, "block", "weight", "last", "before")
-    keys = _keys(df)
-    at = F.pmod(F.col(index), F.lit(size)).cast("double")
-    part = df.withColumn(block, F.floor(F.col(index) / size))
+    size = max(2, math.ceil(50 * math.log(10) / -math.log(q)))
+    home, block = spare(df, "home", "block")
+    rows = df.withColumn(home, F.floor(F.col(index) / size))
+    rows = rows.withColumn(block, F.explode(F.array(F.col(home), F.col(home) + 1)))
+    at = (F.col(index) - (F.col(block) - 1) * size).cast("double")
     share = F.when(F.col(index) == 0, 1.0).otherwise(1 - q)
-    inside = Window.partitionBy(*keys, block).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*_keys(df), block).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
     own = F.sum(F.col(value) * share * F.pow(F.lit(1 / q), at)).over(inside) * F.pow(F.lit(q), at)
-    part = part.withColumn(weight, own)
-    ends = part.where(F.pmod(F.col(index), F.lit(size)) == size - 1).select(*keys, (F.col(block) + 1).alias(block), F.col(weight).alias(last))
-    on = [F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (*keys, block)]
-    same = on[0]
-    for c in on[1:]:
-        same = same & c
-    joined = part.alias("p").join(ends.alias("e"), same, "left").select("p.*", F.col(f"e.{last}").alias(last))
-    out = joined.withColumn(alias, F.col(weight) + F.coalesce(F.col(last) * F.pow(F.lit(q), at + 1), F.lit(0.0)))
-    return out.drop(block, weight, last, b2)
+    return rows.withColumn(alias, own).where(F.col(home) == F.col(block)).drop(home, block)
 
 
 def _numbered(df: DataFrame, order: str, rows: int = RANGE_ROWS) -> tuple[DataFrame, str]:
