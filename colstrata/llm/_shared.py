@@ -79,6 +79,20 @@ def release(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def mark() -> int:
+    """A point in time for ``sweep``."""
+    return len(_written)
+
+
+def sweep(since: int, *keep: DataFrame) -> None:
+    """Delete the files of all tables that ``durable`` has made since a ``mark``, but for ``keep``; nothing that is still to
+    run may read them."""
+    kept = {_paths.get(id(df)) for df in keep}
+    for spark, path in _written[since:]:
+        if path not in kept:
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = 12_0
 
     sample = text.where(chosen).mapInArrow(spell, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
     fitted = sample.join(part, "doc_id").select("hashes", *[f"{t}_vote" for t in TASKS]).toPandas()  # about train_rows rows
-    rows = [np.frombuffer(h, "<i4").astype(np.int64) for h in fitted.hashes]
+    rows = [np.frombuffer(h, "<i4") for h in fitted.hashes]
     models = {t: fit_linear(rows, fitted[f"{t}_vote"].to_numpy(dtype=float)) for t in TASKS}
     return models
 

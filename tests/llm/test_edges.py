@@ -90,3 +90,35 @@ def test_all_null_columns(spark):
     docs = table(spark, [(None, None, None, None, None)] * 3)
     for name, f in PER_ROW.items():
         assert len(f(spark, docs).collect()) == 3, name
+
+
+VERY_LONG = {
+    "suffix": lambda s, d: suffix_dedup.dedup(d).drop("kept"),
+    "shards": lambda s, d: sharding.shards(d, 3),
+    "secrets": lambda s, d: secrets.digest(secrets.scan(d)),
+    "media": lambda s, d: media.digest(d),
+    "tokens": lambda s, d: token_rollup.count_tokens(d),
+    "pii": lambda s, d: pii.digest(pii.scan(d)),
+    "quality": lambda s, d: quality.classify(d),
+    "mix": lambda s, d: mixing.mix(d),
+    "contamination": lambda s, d: decontaminate.contamination(d, items(s)),
+    "simhash": lambda s, d: simhash.near_duplicates(d),
+    "near_dedup": lambda s, d: simhash.near_dedup(d),
+}
+
+
+def test_texts_of_ten_megabytes(spark):
+    """Two texts of 10 MB, one the other's near copy, beside short ones; one of a single word."""
+    line = "".join(f"w{i * i % 9973} to{i % 113}{'.' if i % 17 == 0 else ''} " for i in range(1_000_000))[: 10 << 20]
+    rows = [(1, line, "en", "a"), (2, line[: 5 << 20] + "changed here" + line[5 << 20 :], "en", "a"), (3, "x" * (10 << 20), "en", "b"), (4, "short", "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    for name, f in VERY_LONG.items():
+        out = {r["doc_id"]: r for r in f(spark, docs).collect()}
+        if name == "near_dedup":
+            assert set(out) == {1, 3, 4}
+            continue
+        assert set(out) == {1, 2, 3, 4}, name
+        if name == "suffix":
+            assert out[1].n_removed == 10 << 20 and out[2].n_bytes - out[2].n_removed <= 12 and out[3].n_removed == 10 << 20
+        if name == "media":
+            assert out[3].n_bytes == 10 << 20 and out[3].media_bytes < 1 << 16
