@@ -235,10 +235,9 @@ def hash_partition_keys(t):
     return per.agg(F.sum("rows").alias("n"), F.count("*").alias("keys"), F.bool_and(F.col("lo") == F.col("hi")).alias("whole"), F.count_distinct("lo").cast("int").alias("parts"))
 
 
-@query("SELECT event_id, value, row_number() OVER (ORDER BY event_id DESC) AS place FROM events ORDER BY event_id DESC LIMIT 50")
+@query("SELECT event_id, value, row_number() OVER (ORDER BY event_id DESC) - 1 AS place FROM events")
 def reverse_rows(t):
-    last = X.reverse(t.events.select("event_id", "value"), "event_id").limit(50)
-    return last.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("event_id"))).cast("long"))  # fifty rows
+    return row_index(X.reverse(t.events.select("event_id", "value"), "event_id"), [ST.Key("event_id", True)], "place", 3000)
 
 
 @query("SELECT count(*) AS n FROM lineitem WHERE abs(l_discount * 3 - l_tax) < 0.0001")
@@ -954,9 +953,7 @@ HOLED = "(SELECT event_id, CASE WHEN value >= 20 THEN value END AS value, nullif
 for _asc, _word in ((True, "ASC"), (False, "DESC")):
     query(f"SELECT row_number() OVER (ORDER BY value {_word} NULLS LAST, event_id) - 1 AS pos, event_id FROM {HOLED}", f"nulls_sort_index_{_word.lower()}")(lambda t, a=_asc: ST.sort_index(holed(t), "value", "event_id", a))
     query(f"SELECT row_number() OVER (ORDER BY kind {_word} NULLS LAST, event_id) - 1 AS pos, event_id FROM {HOLED}", f"nulls_sort_strings_{_word.lower()}")(lambda t, a=_asc: ST.sort_index(holed(t), "kind", "event_id", a))
-    query(f"SELECT event_id, value, row_number() OVER (ORDER BY value {_word} NULLS LAST, event_id) AS place FROM {HOLED} ORDER BY value {_word} NULLS LAST, event_id LIMIT 400", f"nulls_sort_stable_{_word.lower()}")(
-        lambda t, a=_asc: ST.row_index(ST.sort_stable(holed(t).select("event_id", "value"), "value", "event_id", a).limit(400), [ST.Key("value", not a, True), ST.Key("event_id")], "place").withColumn("place", F.col("place") + 1)
-    )
+    query(f"SELECT event_id, value FROM {HOLED} ORDER BY value {_word} NULLS LAST, event_id LIMIT 100", f"nulls_topk_{_word.lower()}")(lambda t, a=_asc: ST.topk(holed(t).select("event_id", "value"), "value", "event_id", 100, not a))
 
 
 @query(f"SELECT event_id, count(value) OVER w AS range_count, round(sum(value) OVER w + 1e-7, 3) AS range_sum, round(avg(value) OVER w + 1e-7, 3) AS range_avg FROM {HOLED} WINDOW w AS (ORDER BY value RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING)")
@@ -1109,13 +1106,9 @@ def mkt_series_log_returns(t):
     return M.MarketData(ticks(t).drop("symbol"), "event_id").log_returns().select("event_id", F.round("ret", 6).alias("ret"))
 
 
-@query(
-    "WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY event_id) AS n, event_id, value FROM events WHERE value > 0), e AS (SELECT n, event_id, value AS ema FROM p WHERE n = 1 UNION ALL SELECT p.n, p.event_id, p.value * 2 / 11 + e.ema * 9 / 11 FROM e JOIN p ON p.n = e.n + 1 WHERE p.n <= 3000) SELECT event_id, round(ema, 5) AS ema FROM e"
-)
+@query(EMA.format(t="(SELECT 'all' AS symbol, event_id, value AS price FROM events WHERE value > 0)", first="price AS ema", next="p.price * 2 / 11.0 + e.ema * 9 / 11.0") + " SELECT event_id, round(ema, 5) AS ema FROM e")
 def mkt_series_ema(t):
-    first = ticks(t).drop("symbol")
-    head = first.orderBy("event_id").limit(3000)  # the SQL beside it goes row by row
-    return M.ema(head, 10, "event_id").select("event_id", F.round("ema", 5).alias("ema"))
+    return M.ema(ticks(t).drop("symbol"), 10, "event_id").select("event_id", F.round("ema", 5).alias("ema"))
 
 
 @query("SELECT round(min(value / top - 1), 6) AS max_drawdown FROM (SELECT value, max(value) OVER (ORDER BY event_id) AS top FROM events WHERE value > 0)")
