@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colstrata.llm import decontaminate, mixing, quality, sharding, simhash
-from colstrata.llm._shared import durable
+from colstrata.llm._shared import durable, mark, sweep
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; every other stage's rows are written, and what it made on the way is deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = durable(docs, name)
+            sweep(since, docs)
     return docs
