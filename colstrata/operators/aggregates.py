@@ -92,24 +92,26 @@ def merge(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return known.groupBy(*keys).agg(n.alias("count"), F.sum("sum").alias("sum"), F.first(mean).alias("mean"), var.alias("variance"), F.min("lo").alias("min"), F.max("hi").alias("max"))
 
 
-def runs(df: DataFrame, value: str, order: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Runs of equal consecutive values: ``(keys, run, value, length, first)``; run counts from 0."""
-    length, first = F.count("*").alias("length"), F.min(order).alias("first")
-    if not keys:
-        return rle(df, value, order)
+def runs(df: DataFrame, value: str, order: str, keys: Sequence[str] = (), rows: int = RANGE_ROWS) -> DataFrame:
+    """Runs of equal consecutive values: ``(keys, run, value, length, first)``; run counts from 0 within ``keys``.  Runs go on
+    from range to range, so neither a series nor a key is a single task."""
     last, fresh = spare(df, "last", "fresh")
-    w = Window.partitionBy(*keys).orderBy(order)
-    marked = df.withColumn(last, F.lag(F.struct(F.col(value).alias("v"))).over(w))
-    marked = marked.withColumn(fresh, (F.col(last).isNull() | ~F.col(value).eqNullSafe(F.col(last)["v"])).cast("long"))
-    marked = marked.withColumn("run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return marked.groupBy(*keys, "run").agg(F.first(value).alias(value), length, first)
+    r = Ranges(df.select(*keys, value, order), [*keys, order], rows)
+    here = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).alias("v"))
+    marked = r.before(r.df, here, last)
+    same = F.col(last).isNotNull() & F.col(value).eqNullSafe(F.col(last)["v"])
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(last)[f"k{i}"])
+    marked = r.running(marked.withColumn(fresh, (~same).cast("long")), F.col(fresh), "run")
+    out = marked.groupBy(*keys, (F.col("run") - 1).alias("run")).agg(F.first(value).alias(value), F.count("*").alias("length"), F.min(order).alias("first"))
+    if not keys:
+        return out
+    (start,) = spare(out, "start")
+    starts = out.groupBy(*keys).agg(F.min("run").alias(start)).toDF(*[f"__{k}_" for k in keys], start)
+    joined = out.join(starts, [F.col(k).eqNullSafe(F.col(f"__{k}_")) for k in keys])
+    return joined.withColumn("run", F.col("run") - F.col(start)).select(*out.columns)
 
 
 def rle(df: DataFrame, value: str, order: str, rows: int = RANGE_ROWS) -> DataFrame:
-    """``(run, value, length, first)`` of a series without a key: runs go on from range to range."""
-    last, fresh = spare(df, "last", "fresh")
-    r = Ranges(df.select(value, order), [order], rows)
-    marked = r.before(r.df, F.struct(F.col(value).alias("v")), last)
-    marked = marked.withColumn(fresh, (F.col(last).isNull() | ~F.col(value).eqNullSafe(F.col(last)["v"])).cast("long"))
-    marked = r.running(marked, F.col(fresh), "run")
-    return marked.groupBy((F.col("run") - 1).alias("run")).agg(F.first(value).alias(value), F.count("*").alias("length"), F.min(order).alias("first"))
+    """``(run, value, length, first)`` of a series without a key."""
+    return runs(df, value, order, (), rows)

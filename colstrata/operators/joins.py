@@ -118,17 +118,25 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     return points.withColumn(at, cell(value)).join(cells, at).where(f"{value} BETWEEN {low} AND {high}").drop(at)
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, value: str, alias: str) -> DataFrame:
-    """Each left row with the latest right ``value`` at or before its time, null if there is none.
+def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, value: str, alias: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """Each left row with the latest right ``value`` at or before its time, null if there is none; null keys are one key.
 
-    Both sides are put in one stream per key and the last value is carried on: one shuffle by key, no pairs.
+    Both sides are put in one stream in the order of key and time, dealt to ranges, and the last value is carried on: no
+    pairs, and no key is a single task.  What a range takes over from those before is one row a range.
     """
     # the left row is a struct, so no name can clash
     a = left.select(on, F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[value].dataType).alias("v"), F.struct(*left.columns).alias("row"))
     b = right.select(on, F.col(right_time).alias("t"), F.lit(0).alias("side"), F.col(value).alias("v"), F.lit(None).cast(a.schema["row"].dataType).alias("row"))
     both = a.toDF("k", "t", "side", "v", "row").unionByName(b.toDF("k", "t", "side", "v", "row"))
-    w = Window.partitionBy("k").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("last", F.last("v", ignorenulls=True).over(w))
+    r = Ranges(both, ["k", "t", "side"], rows)
+    w = Window.partitionBy(r.part, "k").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = r.df.withColumn("last", F.last("v", ignorenulls=True).over(w))
+    if not r.one:  # keys that go on from earlier ranges: at most one a range
+        per = r.df.where("side = 0 AND v IS NOT NULL").groupBy(r.part, "k").agg(F.max_by("v", "t").alias("v"))
+        parts = r.df.select(r.part, "k").distinct().join(per.withColumnRenamed("k", "k2").withColumnRenamed(r.part, "part2"), (F.col(r.part) == F.col("part2")) & F.col("k").eqNullSafe(F.col("k2")), "left")
+        before = F.last("v", ignorenulls=True).over(Window.partitionBy("k").orderBy(r.part).rowsBetween(Window.unboundedPreceding, -1))
+        late = parts.select(F.col(r.part).alias("part2"), F.col("k").alias("k2"), before.alias("late")).where("late IS NOT NULL")
+        carried = carried.join(F.broadcast(late), (F.col(r.part) == F.col("part2")) & F.col("k").eqNullSafe(F.col("k2")), "left").withColumn("last", F.coalesce("last", "late"))
     return carried.where("side = 1").select("row.*", F.col("last").alias(alias))
 
 

@@ -19,22 +19,26 @@ Agg = Callable[[WindowSpec], Column]
 
 def framed(df: DataFrame, order: str, low: int, high: int, made: dict[str, Agg], keys: Sequence[str] = (), full: bool = False, block: int = 1 << 20, rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with columns ``made`` over the row frame [low, high]; only rows whose frame has all its rows before the
-    current one, if ``full``.  ``order`` must be total within ``keys``."""
-    at, home, own = spare(df, "at", "block", "own")
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(order)
-        out = df.withColumn(at, F.row_number().over(w)).withColumns({k: f(w.rowsBetween(low, high)) for k, f in made.items()})
-        return (out.where(F.col(at) > -low) if full else out).drop(at)
-    r = Ranges(df, [order], rows)
-    indexed = r.running(r.df, F.lit(1).cast("long"), at).withColumn(at, F.col(at) - 1)
-    if r.one and block >= rows:  # one range: its window is that of the numbering
-        out = indexed.withColumns({k: f(r.window().rowsBetween(low, high)) for k, f in made.items()})
+    current one, if ``full``.  ``order`` must be total within ``keys``.
+
+    The table is dealt to ranges and blocks in the order of ``keys`` and ``order``, so a key of very many rows is no single
+    task; a frame ends where its key does.
+    """
+    at, home, own, seen = spare(df, "at", "block", "own", "seen")
+    made = dict(made)
+    if full:
+        made[seen] = lambda w: F.count(F.lit(1)).over(w)
+    r = Ranges(df, [*keys, order], rows)
+    if r.one and (keys or block >= rows):  # one range: no frame crosses it
+        cut, w = r.df, Window.partitionBy(r.part, *keys).orderBy(order)
     else:
-        cut = blocks(r.done(indexed), at, home, own, max(0, -low), max(0, high), block)
-        w = Window.partitionBy(home).orderBy(at).rowsBetween(low, high)
-        out = cut.withColumns({k: f(w) for k, f in made.items()}).where(own).drop(home, own)
-    out = r.done(out)
-    return (out.where(F.col(at) >= -low) if full else out).drop(at)
+        indexed = r.running(r.df, F.lit(1).cast("long"), at).withColumn(at, F.col(at) - 1)
+        cut, w = blocks(indexed, at, home, own, max(0, -low), max(0, high), block), Window.partitionBy(home, *keys).orderBy(at)
+    made_ = {k: f(w.rowsBetween(low, 0) if k == seen else w.rowsBetween(low, high)) for k, f in made.items()}
+    out = cut.withColumns(made_)
+    if own in out.columns:
+        out = out.where(own).drop(home, own, at)
+    return r.done((out.where(F.col(seen) > -low) if full else out).drop(seen))
 
 
 def rolling(df: DataFrame, value: str, order: str, window: int, what: str = "mean", keys: Sequence[str] = (), alias: str | None = None, q: float = 0.5, block: int = 1 << 20) -> DataFrame:

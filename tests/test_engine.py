@@ -283,3 +283,39 @@ def test_one_series_of_prices_needs_no_symbol_and_no_single_task(spark):
     assert m.rolling_mean(10).count() == 8991 and m.log_returns().count() == 8999 and m.var(50, 0.95).count() == 8950
     assert m.stats().count() == 1 and "symbol" not in m.stats().columns
     assert len(m.time_ohlc(3600).columns) == 6 and m.resample_ohlc(100).count() == 90
+
+
+def test_hot_keys_are_cut_in_ranges(spark):
+    """Keyed frames, runs and as-of joins where one key has most rows and spans many ranges."""
+    rng = np.random.default_rng(9)
+    rows = [(i, None if i % 50 == 7 else "hot" if i % 3 else f"k{i % 5}", float(rng.integers(0, 3))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, k string, x double").repartition(5)
+    by = {}
+    for i, k, x in rows:
+        by.setdefault(k, []).append((i, x))
+    for full in (False, True):
+        want = {i: sum(x for _, x in s[max(0, n - 4) : n + 1]) for s in by.values() for n, (i, _) in enumerate(s) if n >= 4 or not full}
+        for extra in ({}, {"rows": 60, "block": 40}):
+            got = W.framed(df, "id", -4, 0, {"s": lambda w: F.sum("x").over(w)}, ["k"], full, **extra)
+            assert {r.id: r.s for r in got.collect()} == want and set(got.columns) == {"id", "k", "x", "s"}
+    runs = set()
+    for k, s in by.items():
+        n, last, start, length = -1, None, None, 0
+        for i, x in [*s, (None, object())]:
+            if x != last:
+                if length:
+                    runs.add((k, n, last, length, start))
+                n, last, start, length = n + 1, x, i, 0
+            length += 1
+    for extra in ({}, {"rows": 60}):
+        assert {(r.k, r.run, r.x, r.length, r["first"]) for r in A.runs(df, "x", "id", ["k"], **extra).collect()} == runs
+    quotes = df.where("id % 4 = 0").select("k", F.col("id").alias("t"), F.col("x").alias("q")).where("id % 20 <> 0 OR x > 0")
+    have = {(r.k, r.t): r.q for r in quotes.collect()}
+    want = {}
+    for k, s in by.items():
+        last = None
+        for i, _ in s:
+            last = have.get((k, i), last)
+            want[i] = last
+    for extra in ({}, {"rows": 60}):
+        assert {r.id: r.found for r in J.asof_join(df, quotes, "k", "id", "t", "q", "found", **extra).collect()} == want
