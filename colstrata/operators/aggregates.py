@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ordered import RANGE_ROWS, Ranges, spare
@@ -76,6 +76,16 @@ def state(value: str) -> list[Column]:
     return [F.count(c).alias("n"), F.sum(c).alias("sum"), F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("m2"), F.min(c).alias("lo"), F.max(c).alias("hi")]
 
 
+def save_state(states: DataFrame, path: str) -> None:
+    """Write states, to go on from later; the folder must be new."""
+    states.write.parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """States that were saved in ``path`` or in folders below it; ``merge`` puts them together."""
+    return spark.read.option("recursiveFileLookup", True).parquet(path)
+
+
 def merge(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Merge states of disjoint parts to count, sum, mean, sample variance, min and max.
 

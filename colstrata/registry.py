@@ -631,6 +631,15 @@ def fn_cast(t):
     return t.orders.select(k.alias("k"), S.wrap_signed(k, 8).alias("i8"), S.wrap_unsigned(k, 16).alias("u16"), F.col("o_totalprice").cast("float").cast("double").alias("f32"), F.col("o_totalprice").cast("long").alias("i64"), S.fits(k, "tinyint").alias("fits8"))
 
 
+@query(
+    "SELECT event_id, CAST(v % 256 AS BIGINT) AS u8, CAST(CASE WHEN v % 65536 >= 32768 THEN v % 65536 - 65536 ELSE v % 65536 END AS BIGINT) AS i16, CAST(CASE WHEN v % 4294967296 >= 2147483648 THEN v % 4294967296 - 4294967296 ELSE v % 4294967296 END AS BIGINT) AS i32,"
+    " CAST(v % 4294967296 AS BIGINT) AS u32, v <= 2147483647 AS fits32, v <= 32767 AS fits16 FROM (SELECT event_id, event_id * event_id * 7919 AS v FROM events)"
+)
+def fn_cast_widths(t):
+    v = t.events.select("event_id", (F.col("event_id") * F.col("event_id") * 7919).alias("v"))
+    return v.select("event_id", S.wrap_unsigned("v", 8).alias("u8"), S.wrap_signed("v", 16).alias("i16"), S.wrap_signed("v", 32).alias("i32"), S.wrap_unsigned("v", 32).alias("u32"), S.fits("v", "int").alias("fits32"), S.fits("v", "smallint").alias("fits16"))
+
+
 @query(f"SELECT a, CASE WHEN b > 0 THEN x ELSE y END AS chosen, CAST(CASE WHEN a = b THEN 0 WHEN a < b THEN 1 ELSE 255 END AS INTEGER) AS three, a & 6 <> 0 AS bits, b >= 0 AND b > a OR b < 0 AND a >= 0 AS below FROM {INTS}")
 def fn_select_compare(t):
     return ints(t).select("a", F.when(F.col("b") > 0, F.col("x")).otherwise(F.col("y")).alias("chosen"), S.three_way("a", "b").alias("three"), S.any_bits("a", F.lit(6)).alias("bits"), S.unsigned_less("a", "b").alias("below"))
@@ -1035,6 +1044,17 @@ def parquet_round_trip(t):
     return R.load_parquet(t.spark, folder, "o_orderkey", "o_orderstatus").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
 
 
+@query("SELECT event_type, count(*) AS count, round(sum(value), 2) AS sum, round(var_samp(value), 4) AS variance, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")
+def state_round_trip(t):
+    """Aggregate states saved half by half, as two runs would, then loaded and merged."""
+    folder = _folder(t)
+    for half in (0, 1):
+        part = t.events.where(F.pmod("event_id", F.lit(2)) == half)
+        A.save_state(part.groupBy("event_type").agg(*A.state("value")), f"{folder}/half={half}")
+    merged = A.merge(A.load_state(t.spark, folder), ["event_type"])
+    return merged.select("event_type", "count", F.round("sum", 2).alias("sum"), F.round("variance", 4).alias("variance"), "min", "max")
+
+
 @query("SELECT name, n AS rows, form FROM (SELECT 'orders' AS name, count(*) AS n FROM orders), (SELECT unnest(['json', 'csv']) AS form)")
 def metrics_round_trip(t):
     """Run metrics of a query, written as JSON lines and as CSV and read back."""
