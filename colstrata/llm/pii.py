@@ -131,7 +131,8 @@ def discover(docs: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, support: i
 
 def bootstrap(instances: DataFrame, rounds: int = ROUNDS, support: int = 5, accept: float = 0.8) -> DataFrame:
     """``(value, kind, score)`` of values that the patterns find; ``instances(value, kind, pattern)`` with kind null
-    where unknown.  Only values without a seed kind come out, with their best kind."""
+    where unknown.  Only values without a seed kind come out, with their best kind.  Repeated rows count once; without any
+    seeds or any unknown values, or on an empty table, there are none; null values and patterns take part like others."""
     edges = durable(instances.select("value", "kind", "pattern").distinct(), "graph")
     if edges.where("kind IS NULL").isEmpty() or edges.where("kind IS NOT NULL").isEmpty():
         return edges.select("value", "kind", F.lit(0.0).alias("score")).limit(0)

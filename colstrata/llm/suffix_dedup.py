@@ -33,7 +33,7 @@ SPAN = 200
 GRAM = 32
 HOT = 16_384
 STEPS = (64, 16, 4, 1)
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 #: Keys with over a SPLIT-th of the rows, at most SPLIT of them, are joined by broadcast.
 SPLIT = 50_000
 
@@ -98,16 +98,18 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | wide[k : k + n]
     order = np.argsort(key)
     key = key[order]
+    small = np.int32 if n < 1 << 31 else np.int64
+    order = order.astype(small)
     fresh = np.r_[True, key[1:] != key[:-1]]
-    slot = np.arange(n)
+    slot = np.arange(n, dtype=small)
     head = np.maximum.accumulate(np.where(fresh, slot, 0))
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, small)
     rank[order], rank[n] = head, -1
     reach = 8
-    tied = np.flatnonzero(~fresh | ~np.r_[fresh[1:], True])
+    tied = np.flatnonzero(~fresh | ~np.r_[fresh[1:], True]).astype(small)
     while reach < depth and len(tied):
         who = order[tied]
-        key = rank[who] * (n + 2) + rank[np.minimum(who + reach, n)] + 1
+        key = rank[who].astype(np.int64) * (n + 2) + rank[np.minimum(who + reach, n)] + 1
         by = np.argsort(key)
         who, key = who[by], key[by]
         order[tied] = who
@@ -128,22 +130,23 @@ def long_prefixes(t: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     together take time in proportion to what they extend; at length ``least`` the rest is known to be longer.
     """
     n = len(t)
+    small = np.int32 if n < 1 << 31 else np.int64
     bwt = t[order - 1]  # the symbol before; the first suffix takes the last symbol
-    by = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by] = np.arange(n)  # where a suffix with its symbol before it stands
-    before, after = np.full(n, -1, np.int64), np.full(n, n, np.int64)  # the same symbol's last and next place
+    by = np.argsort(bwt, kind="stable").astype(small)
+    lf = np.empty(n, small)
+    lf[by] = np.arange(n, dtype=small)  # where a suffix with its symbol before it stands
+    before, after = np.full(n, -1, small), np.full(n, n, small)  # the same symbol's last and next place
     same = bwt[by[1:]] == bwt[by[:-1]]
     before[by[1:][same]], after[by[:-1][same]] = by[:-1][same], by[1:][same]
     open_ = np.ones(n + 1, bool)
     open_[0] = open_[n] = False
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], small), np.array([n], small)
     for _ in range(least):
         if not len(low):
             break
         size = high - low
         end = np.cumsum(size)
-        at = np.repeat(low - (end - size), size) + np.arange(int(end[-1]))
+        at = np.repeat((low - (end - size)).astype(small), size) + np.arange(int(end[-1]), dtype=small)
         first = at[before[at] < np.repeat(low, size)]
         last = at[after[at] >= np.repeat(high, size)]
         # an interval's distinct symbols, by their first and their last place in it: both in order of the extension
@@ -257,7 +260,7 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     rest: list[pd.DataFrame] = []
     size = 0
-    for b in batches:
+    for b in (x[i : i + 512] for x in batches for i in range(0, len(x), 512)):
         rest.append(b)
         size += int(b.data.map(len).sum())
         if size < CHUNK:
