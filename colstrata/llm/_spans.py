@@ -34,31 +34,26 @@ def _all(kind: str, pattern: str, words: bool, pieces: Column) -> Column:
     return F.when(n > 0, F.transform(zipped, row)).otherwise(F.array())
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``(rid, doc_id, text)``: the rows of ``docs`` with a number, null texts as empty."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
-
-
-def matches(docs: DataFrame, patterns: dict[str, str], words: bool = False, rid: str | None = None) -> DataFrame:
-    """Rows ``(rid, doc_id, kind, start, end, match, before, after)``: all matches of all patterns in every text of ``docs``.
+def matches(docs: DataFrame, patterns: dict[str, str], words: bool = False) -> DataFrame:
+    """Rows ``(rid, doc_id, h, kind, start, end, match, before, after)``: all matches of all patterns in every text of ``docs``.
 
     start, end: code points, end exclusive.  Every document also has a row of a null kind, so that documents
-    without matches stay.  rid tells the rows of ``docs`` apart (its column ``rid``, or a number).  A null text is empty.
+    without matches stay.  rid tells the rows of ``docs`` apart; h is a hash of the text.  A null text is empty.
     The texts are read once and not shuffled; only the matches are, to sum up positions.  before, after, if ``words``: up to
     eight space-separated pieces beside the match, as far as the next match of the same kind, blanks as spaces.
     """
     shape = "array<struct<kind:string,idx:int,gap:int,len:int,match:string,before:string,after:string>>"
-    base = numbered(docs) if rid is None else docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(rid).alias("rid"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"rid": F.monotonically_increasing_id(), "h": F.xxhash64("text")})
     mark = F.array(F.struct(*[F.lit(None).alias(x) for x in ("kind", "idx", "gap", "len", "match", "before", "after")])).cast(shape)
     each = [mark]
     for kind, pattern in patterns.items():
         base = base.withColumn(f"p_{kind}", F.split("text", pattern, -1))
         each.append(_all(kind, pattern, words, F.col(f"p_{kind}")).cast(shape))
-    rows = durable(base.select("rid", "doc_id", F.explode(F.concat(*each)).alias("m")).select("rid", "doc_id", "m.*"), "matches")
+    rows = durable(base.select("rid", "doc_id", "h", F.explode(F.concat(*each)).alias("m")).select("rid", "doc_id", "h", "m.*"), "matches")
     so_far = Window.partitionBy("rid", "kind").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     found = rows.where("kind IS NOT NULL").withColumn("end", F.sum(F.col("gap").cast("long") + F.col("len")).over(so_far))
-    found = found.select("rid", "doc_id", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "match", "before", "after")
-    bare = rows.where("kind IS NULL").select("rid", "doc_id", "kind", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "match", "before", "after")
+    found = found.select("rid", "doc_id", "h", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "match", "before", "after")
+    bare = rows.where("kind IS NULL").select("rid", "doc_id", "h", "kind", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "match", "before", "after")
     return found.unionByName(bare)
 
 

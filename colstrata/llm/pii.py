@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import durable, small
-from ._spans import apart, listed, matches, numbered
+from ._spans import apart, listed, matches
 
 # fixed values: the base forms.  Possessive repeats and the look-behinds change no match, only the time on long runs.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -30,6 +30,8 @@ FORM = "|".join(f"(?:{p})" for p in (EMAIL, IP, PHONE))
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 3
 LEAST = 0.1
+#: One in so many texts is read first, to tell the patterns of common words.
+PART = 16
 
 
 def _valid(kind: Column, match: Column) -> Column:
@@ -67,7 +69,7 @@ def _patterns() -> Column:
 def slots(docs: DataFrame) -> DataFrame:
     """``(value, one, two, next)`` of every token of ``docs(text)``: the token and the words beside it, lower-cased."""
     w = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    rows = docs.select(w.alias("w")).where(F.size("w") > 0)
+    rows = docs.select(w.alias("w"))
     none = F.array(F.lit(None).cast("string"))
     shifted = lambda k: F.concat(F.array_repeat(F.lit(None).cast("string"), k), F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - k)))
     zipped = F.arrays_zip(F.col("w").alias("w"), shifted(1).alias("a"), shifted(2).alias("b"), F.concat(F.slice("w", 2, F.size("w")), none).alias("c"))
@@ -76,19 +78,27 @@ def slots(docs: DataFrame) -> DataFrame:
 
 
 def fillers(docs: DataFrame, patterns: DataFrame, form: str | None) -> DataFrame:
-    """``(pattern, value)`` of the tokens of ``docs`` in the slots of ``patterns(pattern)``, but for tokens that match ``form``."""
-    wanted = small(patterns.select(F.col("pattern").alias("p")))
+    """``(pattern, value)`` of the tokens of ``docs`` in the slots of ``patterns(pattern)``, but for tokens that match ``form``.
+    One pass: a token is looked up by the word before it, the two before it and the word after it."""
     at = slots(docs)
-    found = None
-    for name in (F.concat(F.lit("1<"), "one"), F.concat(F.lit("2<"), "two", F.lit(" "), "one"), F.concat(F.lit("1>"), "next")):
-        got = at.select("value", name.alias("pattern")).join(wanted, F.col("pattern") == F.col("p"), "left_semi")
-        found = got if found is None else found.unionByName(got)
-    return (found.where(~F.col("value").rlike(form)) if form else found).select("pattern", "value")
+    held = []
+    for kind, word in (("1<", F.col("one")), ("2<", F.concat("two", F.lit(" "), "one")), ("1>", F.col("next"))):
+        name = f"p{len(held)}"
+        wanted = patterns.where(F.col("pattern").startswith(kind)).select(F.substring("pattern", 3, 1 << 30).alias(f"w{len(held)}"), F.col("pattern").alias(name))
+        at = at.join(small(wanted), word == F.col(f"w{len(held)}"), "left")
+        held.append(name)
+    some = at.where(" OR ".join(f"{x} IS NOT NULL" for x in held))
+    some = some.where(~F.col("value").rlike(form)) if form else some
+    return some.select("value", F.explode(F.array(*held)).alias("pattern")).where("pattern IS NOT NULL").select("pattern", "value")
 
 
 def _gather(docs: DataFrame, edges: DataFrame, seen: DataFrame, taken: DataFrame | None, support: int, form: str | None) -> tuple[DataFrame, DataFrame]:
     """(new patterns, the unknown values in their slots): patterns not in ``seen`` with ``support`` seeds or taken values
-    and not too many other fillers to reach LEAST."""
+    and not too many other fillers to reach LEAST.
+
+    A pattern that has too many fillers in a part of the texts alone has too many in all of them, so a part, by a hash of the
+    text, settles the common words' patterns; all texts are read for what is left, which changes nothing but the work.
+    """
     known = edges.where("kind IS NOT NULL").select("pattern", "value")
     if taken is not None:
         known = known.unionByName(edges.where("kind IS NULL").join(taken, "value", "left_semi").select("pattern", "value"))
@@ -96,12 +106,13 @@ def _gather(docs: DataFrame, edges: DataFrame, seen: DataFrame, taken: DataFrame
     backed = durable(backed.join(seen, "pattern", "left_anti"), "backed")
     if backed.isEmpty():
         return backed.select("pattern"), edges.limit(0)
-    width = fillers(docs, backed, form).groupBy("pattern").agg(F.approx_count_distinct("value", 0.02).alias("n"))
-    fresh = backed.join(width, "pattern", "left").where(F.col("s") >= 0.9 * LEAST * F.coalesce("n", F.lit(0))).select("pattern")
-    fresh = durable(fresh, "fresh")
-    if fresh.isEmpty():
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0)
+    width = fillers(part, backed, form).groupBy("pattern").agg(F.approx_count_distinct("value", 0.02).alias("n"))
+    left = backed.join(width, "pattern", "left").where(F.col("s") >= 0.9 * LEAST * F.coalesce("n", F.lit(0))).select("pattern")
+    left = durable(left, "left")
+    if left.isEmpty():
         return backed.select("pattern"), edges.limit(0)
-    inside = durable(fillers(docs, fresh, form).distinct().select("value", F.lit(None).cast("string").alias("kind"), "pattern"), "fillers")
+    inside = durable(fillers(docs, left, form).distinct().select("value", F.lit(None).cast("string").alias("kind"), "pattern"), "fillers")
     return backed.select("pattern"), inside
 
 
@@ -168,10 +179,11 @@ def scan(docs: DataFrame, rounds: int = ROUNDS, support: int = 5, accept: float
     more = durable(discover(docs, seeds, rounds, support, accept).select("value").distinct(), "more")
     every = found.select("rid", "doc_id", "kind", "start", "end")
     if not more.isEmpty():
-        # only texts that hold one of the values are cut in tokens, for their places
-        held = slots_of(docs, more)
-        spans = matches(held, {"context": WORD}, rid="rid").where("kind IS NOT NULL").withColumn("value", F.lower("match"))
-        added = spans.join(small(more), "value", "left_semi").select("rid", "doc_id", "kind", "start", "end")
+        # only texts that hold one of the values are cut in tokens, each once, for their places
+        spans = matches(holding(docs, more), {"context": WORD}).where("kind IS NOT NULL").withColumn("value", F.lower("match"))
+        places = spans.join(small(more), "value", "left_semi").select("doc_id", "h", "kind", "start", "end").alias("p")
+        rows = found.where("kind IS NULL").select("rid", "doc_id", "h").alias("r")
+        added = rows.join(places, F.expr("r.doc_id <=> p.doc_id AND r.h = p.h")).select("r.rid", "r.doc_id", "p.kind", "p.start", "p.end")
         both = every.where("kind IS NOT NULL").unionByName(added).withColumn("free", apart(every, F.col("kind") != "context"))
         every = every.unionByName(both.where("kind = 'context' AND free").drop("free"))
     rank = F.array_position(F.array(*[F.lit(k) for k in [*KINDS, "context"]]), F.col("kind")).cast("int") - 1
@@ -179,12 +191,14 @@ def scan(docs: DataFrame, rounds: int = ROUNDS, support: int = 5, accept: float
     return every.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(one).alias("spans"))
 
 
-def slots_of(docs: DataFrame, values: DataFrame) -> DataFrame:
-    """``(rid, doc_id, text)`` of the documents with a token among ``values``; rid numbers rows as ``matches`` does."""
-    base = numbered(docs)
+def holding(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of the documents with a token among ``values(value)``; rows of one id and text once."""
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     w = F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
-    ids = base.select("rid", F.explode(w).alias("value")).join(small(values), "value", "left_semi").select("rid").distinct()
-    return base.join(durable(ids, "held"), "rid", "left_semi")
+    ids = base.select("doc_id", "h", F.explode(w).alias("value")).join(small(values), "value", "left_semi").select("doc_id", "h").distinct()
+    ids = small(durable(ids, "held")).alias("i")
+    held = base.alias("b").join(ids, F.expr("b.doc_id <=> i.doc_id AND b.h = i.h"), "left_semi")
+    return held.dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
 
 
 def digest(found: DataFrame) -> DataFrame:
