@@ -512,6 +512,40 @@ def test_decontaminate_drops_whole_windows_in_long_texts(spark, monkeypatch, bou
     assert kept == [-1, 0, 2, 4]
 
 
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_secrets", "op9_decontaminate"])
+def test_queries_against_sql(spark, sf, name):
+    import duckdb
+
+    from colstrata.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    result = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    df = queries.queries()[name](spark, sf)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted(result.fetchall(), key=repr)
+
+
+def test_op3_sql_flags_what_the_battery_flags(spark):
+    """The SQL beside the query on texts with many random and other tokens, which the tables have not."""
+    import duckdb
+
+    from colstrata.llm import queries
+
+    rng = np.random.default_rng(11)
+    letters = np.array(list(secrets.ALPHABETS["b64"][:62]))
+    made = lambda n: "".join(rng.choice(letters, n))
+    texts = [f"a {made(int(rng.integers(12, 60)))} b token: {made(20)} " + "/".join(rng.choice(["usr", "share", "lib2", "python", "site-packages"], 6)) + f" {rng.integers(10**13)}{rng.integers(10**12)} AKIA{made(3).upper()}" for _ in range(400)]
+    table = spark.createDataFrame([*enumerate(texts), (999, None)], "doc_id long, text string")
+    documents = table.toPandas()  # noqa: F841  DuckDB reads it by name
+    result = duckdb.connect().execute(queries.SQL["op3_secrets"])
+    names = [d[0] for d in result.description]
+    got = sorted((tuple(r[c] for c in names) for r in secrets.digest(secrets.scan(table)).collect()), key=repr)
+    assert got == sorted(result.fetchall(), key=repr) and sum("random" in r[names.index("spans")] for r in got) > 200
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (700, 700)], "a long, b long")
     got = {r.node: r.label for r in _shared.components(edges).collect()}
