@@ -150,12 +150,13 @@ def time_ohlc(df: DataFrame, seconds: int = 3600, fill: bool = True, order: str
     return every.join(bars, [*keys, "bucket"], "left").fillna(0, ["open", "high", "low", "close", "volume"])
 
 
-def resample_ohlc(df: DataFrame, window: int = 100, order: str = "ts") -> DataFrame:
+def resample_ohlc(df: DataFrame, window: int = 100, order: str = "ts", rows: int = RANGE_ROWS) -> DataFrame:
     """Bars of ``window`` rows; an incomplete last bar is left out."""
     (n,) = spare(df, "n")
     keys = _keys(df)
-    rows = df.withColumn(n, F.row_number().over(Window.partitionBy("symbol").orderBy(order)) - 1) if keys else row_index(df, [order], n)
-    bars = rows.withColumn("bar", F.floor(F.col(n) / window)).groupBy(*keys, "bar")
+    r = Ranges(df, [*keys, order], rows)
+    numbered = r.done(r.running_in(r.df, keys, F.lit(1).cast("long"), n)).withColumn(n, F.col(n) - 1) if keys else row_index(df, [order], n, rows)
+    bars = numbered.withColumn("bar", F.floor(F.col(n) / window)).groupBy(*keys, "bar")
     bars = bars.agg(F.min_by("price", n).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", n).alias("close"), F.sum("volume").alias("volume"), F.count("*").alias(n))
     return bars.where(F.col(n) == window).drop(n)
 
@@ -176,11 +177,9 @@ def value_at_risk(df: DataFrame, window: int = 250, confidence: float = 0.95, or
 
 def max_drawdown(df: DataFrame, order: str = "ts", rows: int = RANGE_ROWS) -> DataFrame:
     (top,) = spare(df, "top")
-    if _keys(df):
-        out = df.withColumn(top, F.max("price").over(Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        r = Ranges(df, [order], rows)
-        out = r.running(r.df, F.col("price"), top, "max")
+    keys = _keys(df)
+    r = Ranges(df, [*keys, order], rows)
+    out = r.running_in(r.df, keys, F.col("price"), top, "max") if keys else r.running(r.df, F.col("price"), top, "max")
     return _per(out, F.min(F.try_divide(F.col("price") - F.col(top), F.col(top))).alias("max_drawdown"))
 
 

@@ -126,6 +126,24 @@ class Ranges:
         both = F.coalesce(F.col(carry), F.lit(0)) + own if how == "sum" else F.greatest(F.col(carry), own)
         return held.withColumn(alias, both).drop(v, carry)
 
+    def running_in(self, df: DataFrame, by: Sequence[str], value: Column, alias: str, how: str = "sum") -> DataFrame:
+        """``df``, rows of these ranges, with the running sum or max of ``value`` within the columns ``by``, which lead the
+        order.  Only a column value that goes on from earlier ranges takes something over: at most one a range."""
+        agg = {"sum": F.sum, "max": F.max}[how]
+        inside = Window.partitionBy(self.part, *by).orderBy(*self.sort).rowsBetween(Window.unboundedPreceding, 0)
+        if self.one:
+            return df.withColumn(alias, agg(value).over(inside))
+        v, carry = spare(df, "value", "carry")
+        held = df.withColumn(v, value)
+        per = held.groupBy(self.part, *by).agg(agg(v).alias(carry))
+        earlier = Window.partitionBy(*by).orderBy(self.part).rowsBetween(Window.unboundedPreceding, -1)
+        names = [f"{carry}{i}" for i in range(len(by) + 1)]
+        late = per.withColumn(carry, agg(carry).over(earlier)).where(F.col(carry).isNotNull()).select(self.part, *by, carry).toDF(*names, carry)
+        joined = held.join(F.broadcast(late), [F.col(a).eqNullSafe(F.col(b)) for a, b in zip((self.part, *by), names)], "left")
+        own = agg(v).over(inside)
+        both = F.coalesce(F.col(carry), F.lit(0)) + own if how == "sum" else F.greatest(F.col(carry), own)
+        return joined.withColumn(alias, both).drop(v, carry, *names)
+
     def before(self, df: DataFrame, value: Column, alias: str) -> DataFrame:
         """``df`` with ``value`` of the row before, whatever its range; the first row has none."""
         if self.one:

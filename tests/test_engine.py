@@ -319,3 +319,17 @@ def test_hot_keys_are_cut_in_ranges(spark):
             want[i] = last
     for extra in ({}, {"rows": 60}):
         assert {r.id: r.found for r in J.asof_join(df, quotes, "k", "id", "t", "q", "found", **extra).collect()} == want
+
+
+def test_running_values_of_hot_symbols(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, None if i % 40 == 3 else "hot" if i % 4 else "b", float(rng.integers(1, 90)), 1.0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "ts long, symbol string, price double, volume double").repartition(4)
+    by = {}
+    for _, k, p, _ in rows:
+        by.setdefault(k, []).append(p)
+    want = {k: float(((np.array(v) - np.maximum.accumulate(v)) / np.maximum.accumulate(v)).min()) for k, v in by.items()}
+    bars = {(k, b): (v[100 * b], max(v[100 * b : 100 * b + 100])) for k, v in by.items() for b in range(len(v) // 100)}
+    for extra in ({}, {"rows": 70}):
+        assert {r.symbol: r.max_drawdown for r in M.max_drawdown(df, **extra).collect()} == pytest.approx(want)
+        assert {(r.symbol, r.bar): (r.open, r.high) for r in M.resample_ohlc(df, 100, **extra).collect()} == bars
