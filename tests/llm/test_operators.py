@@ -579,5 +579,28 @@ def test_pipeline(spark, sf):
     windows = lambda t: {tuple(w[i : i + 13]) for w in [words(t)] for i in range(len(w) - 12)}
     asked = set().union(*(windows(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()))
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in once.collect() if not windows(r.text) & asked}
-    out = P.run(spark, sf)
-    assert out.select("shard").distinct().count() == 24
+    left = _shared.durable(clean)
+    taken = collections.Counter(r.doc_id for r in _shared.durable(P.mixed(spark, left, sf)).collect())
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in left.collect()}
+    source = {r.doc_id: r.source for r in left.collect()}
+    assert set(taken) <= set(size) and max(taken.values()) <= 3
+    want = plain_targets(collections.Counter({s: sum(size[i] for i in size if source[i] == s) for s in set(source.values())}))
+    for s in want:
+        mine = [i for i in size if source[i] == s]
+        assert abs(sum(taken[i] * size[i] for i in mine) - want[s]) <= max(size[i] for i in mine)
+    out = P.run(spark, sf).collect()  # the same draws again
+    assert collections.Counter(r.doc_id for r in out) == taken and {r.shard for r in out} == set(range(24))
+    for k in range(24):
+        assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
+
+
+def plain_targets(sizes):
+    """Weights 1, 2, 3 by source, capped at three times a source's size, the excess shared again."""
+    weight = {s: 1 + i % 3 for i, s in enumerate(sorted(sizes))}
+    fixed = {}
+    while True:
+        rest = {s: (sum(sizes.values()) - sum(fixed.values())) * weight[s] / sum(weight[x] for x in sizes if x not in fixed) for s in sizes if s not in fixed}
+        above = {s: 3 * sizes[s] for s in rest if rest[s] > 3 * sizes[s]}
+        if not above:
+            return fixed | rest
+        fixed |= above
