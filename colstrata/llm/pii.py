@@ -30,8 +30,6 @@ FORM = "|".join(f"(?:{p})" for p in (EMAIL, IP, PHONE))
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 3
 LEAST = 0.1
-#: One in so many texts is read first, to tell the patterns of common words.
-PART = 16
 
 
 def _valid(kind: Column, match: Column) -> Column:
@@ -94,11 +92,8 @@ def fillers(docs: DataFrame, patterns: DataFrame, form: str | None) -> DataFrame
 
 def _gather(docs: DataFrame, edges: DataFrame, seen: DataFrame, taken: DataFrame | None, support: int, form: str | None) -> tuple[DataFrame, DataFrame]:
     """(new patterns, the unknown values in their slots): patterns not in ``seen`` with ``support`` seeds or taken values
-    and not too many other fillers to reach LEAST.
-
-    A pattern that has too many fillers in a part of the texts alone has too many in all of them, so a part, by a hash of the
-    text, settles the common words' patterns; all texts are read for what is left, which changes nothing but the work.
-    """
+    and not too many other fillers to reach LEAST.  Fillers are counted by sketches in one pass over the texts; only those of
+    patterns that are left are gathered."""
     known = edges.where("kind IS NOT NULL").select("pattern", "value")
     if taken is not None:
         known = known.unionByName(edges.where("kind IS NULL").join(taken, "value", "left_semi").select("pattern", "value"))
@@ -106,9 +101,8 @@ def _gather(docs: DataFrame, edges: DataFrame, seen: DataFrame, taken: DataFrame
     backed = durable(backed.join(seen, "pattern", "left_anti"), "backed")
     if backed.isEmpty():
         return backed.select("pattern"), edges.limit(0)
-    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0)
-    width = fillers(part, backed, form).groupBy("pattern").agg(F.approx_count_distinct("value", 0.02).alias("n"))
-    left = backed.join(width, "pattern", "left").where(F.col("s") >= 0.9 * LEAST * F.coalesce("n", F.lit(0))).select("pattern")
+    width = fillers(docs, backed, form).groupBy("pattern").agg(F.approx_count_distinct("value", 0.02).alias("n"))
+    left = backed.join(width, "pattern").where(F.col("s") >= 0.9 * LEAST * F.col("n")).select("pattern")
     left = durable(left, "left")
     if left.isEmpty():
         return backed.select("pattern"), edges.limit(0)
