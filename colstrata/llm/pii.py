@@ -101,8 +101,8 @@ def _gather(docs: DataFrame, edges: DataFrame, seen: DataFrame, taken: DataFrame
     backed = durable(backed.join(seen, "pattern", "left_anti"), "backed")
     if backed.isEmpty():
         return backed.select("pattern"), edges.limit(0)
-    width = fillers(docs, backed, form).groupBy("pattern").agg(F.approx_count_distinct("value", 0.02).alias("n"))
-    left = backed.join(width, "pattern").where(F.col("s") >= 0.9 * LEAST * F.col("n")).select("pattern")
+    width = fillers(docs, backed, form).groupBy("pattern").agg(F.approx_count_distinct("value", 0.05).alias("n"))
+    left = backed.join(width, "pattern").where(F.col("s") >= 0.8 * LEAST * F.col("n")).select("pattern")
     left = durable(left, "left")
     if left.isEmpty():
         return backed.select("pattern"), edges.limit(0)
