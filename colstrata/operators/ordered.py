@@ -66,16 +66,14 @@ def bisect(size: Column, steps: int, goes_right: Callable[[Column], Column]) ->
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), start, halve)["lo"]
 
 
-def _precedes(cut: Column, order: list[Key]) -> Column:
-    """Whether the key in the struct ``cut`` comes before the row's."""
-    if not any(k.descending or k.nulls_last for k in order):
-        return cut < F.struct(*[k.column().alias(f"k{i}") for i, k in enumerate(order)])
+def _precedes(cut: Sequence[Column], order: list[Key]) -> Column:
+    """Whether the key made of ``cut`` comes before the row's."""
     out = F.lit(False)
-    for i, k in reversed(list(enumerate(order))):
-        a, b = cut[f"k{i}"], k.column()
-        by_null = F.when(a.isNull(), 1 if k.nulls_last else -1).otherwise(0) - F.when(b.isNull(), 1 if k.nulls_last else -1).otherwise(0)
-        less = (by_null < 0) | ((by_null == 0) & F.coalesce((a > b) if k.descending else (a < b), F.lit(False)))
-        out = less | (a.eqNullSafe(b) & out)
+    for a, k in reversed(list(zip(cut, order))):
+        b = k.column()
+        first = (b.isNull() & a.isNotNull()) if k.nulls_last else (a.isNull() & b.isNotNull())
+        less = first | F.coalesce((a > b) if k.descending else (a < b), F.lit(False))
+        out = less if k is order[-1] else less | (a.eqNullSafe(b) & out)
     return out
 
 
@@ -97,10 +95,18 @@ class Ranges:
         step = [Key(f"k{i}", k.descending, k.nulls_last).sort() for i, k in enumerate(self.order)]
         sample = narrow.sample(min(1.0, SAMPLE * ranges / n), seed=7).withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*step)))
         cuts = sample.where(F.col("at") % SAMPLE == 0).drop("at").collect()  # a key a range: at most MAX_RANGES
-        (name,) = spare(df, "cuts")
-        table = df.sparkSession.createDataFrame([([tuple(r) for r in cuts],)], T.StructType([T.StructField(name, T.ArrayType(narrow.schema))]))
-        at = bisect(F.size(name), len(cuts).bit_length(), lambda mid: _precedes(F.element_at(name, mid), self.order))
-        self.df = df.join(F.broadcast(table)).withColumn(self.part, at).drop(name)
+        names = spare(df, *[f"cut{i}" for i in range(len(self.order))])
+        kinds = [T.StructField(n, T.ArrayType(f.dataType)) for n, f in zip(names, narrow.schema)]
+        table = df.sparkSession.createDataFrame([tuple([c[i] for c in cuts] for i in range(len(names)))], T.StructType(kinds))
+        # the number of cuts before the row, bit by bit from the highest
+
+        def raised(low: Column, bit: Column) -> Column:
+            at = low + bit
+            passed = (at <= len(cuts)) & _precedes([F.get(n, at - 1) for n in names], self.order)
+            return F.when(passed, at).otherwise(low)
+
+        bits = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+        self.df = df.join(F.broadcast(table)).withColumn(self.part, F.aggregate(bits, F.lit(0), raised)).drop(*names)
 
     def window(self):
         return Window.partitionBy(self.part).orderBy(*self.sort)
