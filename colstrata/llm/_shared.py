@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a table may have to be broadcast; the callers count first and have another plan beyond it.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch for Python; without it Spark takes 10,000 rows, however long their texts are.
+BATCH_BYTES = 2 << 20
 _written: list[tuple[SparkSession, str]] = []
 _paths: dict[int, str] = {}
 
@@ -48,6 +50,13 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at ``BATCH_BYTES`` (one longer row is a batch), unless it has a bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder of that name in the shared folder, deleted when the driver's interpreter exits."""
     path = f"{shared_dir(spark)}/colstrata-{name}"

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable
+from ._shared import bounded, durable
 
 BITS = 18
 TASKS = ("quality", "toxic")
@@ -280,6 +280,7 @@ def filtered(docs: DataFrame, labels: DataFrame | None = None, train_rows: int =
 
     Nulls, empty texts, repeated rows and empty tables are as in ``classify``; columns may have any name.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_rows, label_rows))
     names, at = docs.columns, docs.columns.index("text")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, durable, quoted, small, without
+from ._shared import bounded, components, durable, quoted, small, without
 from .set_check import hashed, linked, sketches
 
 TILE = 16_384
@@ -426,6 +426,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SI
     Documents without words stay as they are, each its own group; rows without doc_id stay too.  Of rows that
     repeat a doc_id one stays.
     """
+    bounded(docs.sparkSession)
     blank = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))) == 0
     found = groups(docs.where(~blank).select("doc_id", "text"), words, similarity)
     once = without(docs, durable(found.where("doc_id <> component_id").select("doc_id").distinct(), "lose"))

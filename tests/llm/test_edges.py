@@ -1,8 +1,9 @@
 """Every operator and stage on nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
 
+import pyarrow as pa
 import pytest
 
-from colstrata.llm import decontaminate, media, mixing, pii, quality, secrets, sharding, simhash, suffix_dedup, token_rollup
+from colstrata.llm import _shared, decontaminate, media, mixing, pii, quality, secrets, sharding, simhash, suffix_dedup, token_rollup
 
 CLASH = ["rid", "h", "k", "size", "spans", "n", "source_size", "shard", "key", "fp", "start", "end", "kind", "p", "w", "node", "u", "v", "copies", "_copies", "match", "slot", "block", "doc", "token", "_rank", "a.b", "row", "order", "label", "__gone", "cls", "at", "s1", "bits", "n_whole"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
@@ -122,3 +123,23 @@ def test_texts_of_ten_megabytes(spark):
             assert out[1].n_removed == 10 << 20 and out[2].n_bytes - out[2].n_removed <= 12 and out[3].n_removed == 10 << 20
         if name == "media":
             assert out[3].n_bytes == 10 << 20 and out[3].media_bytes < 1 << 16
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dedup"])
+def test_batches_for_python_are_bounded_by_bytes(spark, name):
+    """Spark's own bound is 10,000 rows: 32 MB of these texts in one batch, of which a worker keeps several copies."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in batches)
+    few = table(spark, [(i, f"words of text {i}", "en", "a", 10) for i in range(5)])
+    many = spark.range(0, 8001, 1, 1).selectExpr("repeat('words and more ', if(id = 0, 300000, 270)) AS text")
+    spark.conf.unset(key)
+    try:
+        STAGES[name](spark, few)
+        got = many.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in got) == 8001  # the text of 4.5 MB too, whole
+        assert all(r.bytes <= _shared.BATCH_BYTES * 1.1 for r in got if r.rows > 1) and max(r.bytes for r in got) >= 4_500_000
+        spark.conf.set(key, "1048576")  # a bound of the session's own stays
+        STAGES[name](spark, few)
+        assert spark.conf.get(key) == "1048576"
+    finally:
+        spark.conf.unset(key)
