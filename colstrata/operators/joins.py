@@ -109,6 +109,36 @@ def count_theta(left: DataFrame, right: DataFrame, left_value: str, op: str, rig
     return both.withColumn("m", matches).agg(F.coalesce(F.sum(F.col("l") * F.col("m")), F.lit(0)).cast("long").alias("pairs"))
 
 
+def theta_groups(left: DataFrame, right: DataFrame, key: str, left_value: str, op: str, right_value: str, of: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """``(key, n, lo, hi)`` of the left keys that have theta pairs: how many pairs, and the least and greatest ``of`` of their
+    right rows, without making them: running aggregates over the union of distinct values, in ranges of ``rows`` values."""
+    v = F.col("v")
+    values = left.select(F.col(f"`{left_value}`").alias("v")).where(v.isNotNull()).distinct()
+    side = right.select(F.col(f"`{right_value}`").alias("v"), F.col(f"`{of}`").alias("of")).where(v.isNotNull())
+    per = side.groupBy("v").agg(F.count("*").alias("n"), F.min("of").alias("lo"), F.max("of").alias("hi"))
+    both = per.unionByName(values, allowMissingColumns=True).groupBy("v").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    if op == "eq":
+        found = both.select("v", F.struct("n", "lo", "hi").alias("m"))
+    else:
+        r = Ranges(both, ["v"], rows)
+        whole = r.df.groupBy(r.part).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        over = lambda w: F.struct(F.sum("n").over(w).alias("n"), F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi"))
+        # values below are those before a row in the order, values above those before it in the opposite order
+        orders = [c for c, ops in (("asc", ("gt", "ge", "ne")), ("desc", ("lt", "le", "ne"))) if op in ops]
+        sort = lambda c, d: getattr(F.col(c), d)()
+        before = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+        last = 0 if op in ("le", "ge") else -1
+        inside = r.df.select(r.part, "v", *[over(before(Window.partitionBy(r.part).orderBy(sort("v", d)), last)).alias(f"in_{d}") for d in orders])
+        # ranges that match whole: one row a range
+        outside = whole.select(r.part, *[over(before(Window.partitionBy(F.lit(0)).orderBy(sort(r.part, d)), -1)).alias(f"out_{d}") for d in orders])
+        sums = [F.col(f"{at}_{d}") for d in orders for at in ("in", "out")]
+        m = F.struct(sum(F.coalesce(s["n"], F.lit(0)) for s in sums).alias("n"), F.least(*[s["lo"] for s in sums]).alias("lo"), F.greatest(*[s["hi"] for s in sums]).alias("hi"))
+        found = inside.join(F.broadcast(outside), r.part).select("v", m.alias("m"))
+    rest = left.select(F.col(f"`{key}`").alias("key"), F.col(f"`{left_value}`").alias("value"))
+    hit = rest.join(found.where("m.n > 0"), F.col("value") == v)
+    return hit.groupBy(F.col("key").alias(key)).agg(F.sum("m.n").alias("n"), F.min("m.lo").alias("lo"), F.max("m.hi").alias("hi"))
+
+
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
     """Rows of ``points`` in ``[low, high]`` of ``ranges``: an equi join on cells of ``width``, then the exact test.  A range
     is repeated for each cell that it touches; choose ``width`` near the usual length of a range."""

@@ -1,11 +1,14 @@
 """Golden values, properties and plans of the engine's own operators."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from colstrata import registry
 from colstrata.functions import scalar as S
 from colstrata.operators import aggregates as A
 from colstrata.operators import encoding as E
@@ -181,6 +184,47 @@ def test_theta_join_of_two_large_sides(spark, op):
         assert len(got) == len(want) and {tuple(r) for r in got} == want, limit
 
 
+@pytest.mark.parametrize("op", ["lt", "le", "gt", "ge", "ne", "eq"])
+def test_theta_groups(spark, op):
+    import operator
+
+    rng = np.random.default_rng(7)
+    odd = lambda v: [None, math.nan, -0.0, 0.0, float(v)][min(int(v), 4)]
+    a, b = ([(int(k), odd(v)) for k, v in zip(rng.integers(0, 9, n), rng.integers(0, 25, n))] for n in (60, 90))
+    b = [(None if j % 5 == 0 else j, w) for j, w in b]
+    rank = lambda v: (1, 0.0) if math.isnan(v) else (0, v)  # NaN is the greatest and equals itself
+    want: dict = {}
+    for k, v in a:
+        for j, w in b:
+            if v is not None and w is not None and getattr(operator, op)(rank(v), rank(w)):
+                want.setdefault(k, []).append(j)
+    want = {(k, len(js), min((j for j in js if j is not None), default=None), max((j for j in js if j is not None), default=None)) for k, js in want.items()}
+    left, right = (spark.createDataFrame(x, f"{k} int, `{v}` double").repartition(3) for x, k, v in ((a, "i", "x.1"), (b, "j", "y.1")))
+    for rows in (4, 1000):
+        got = J.theta_groups(left, right, "i", "x.1", op, "y.1", "j", rows).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want, rows
+
+
+def most_rows(spark):
+    """The most rows that an operator of the last execution put out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last()
+    found = store.executionMetrics(last.executionId())
+    ids = [m.accumulatorId() for m in explain._each(last.metrics()) if m.name() == "number of output rows"]
+    return max(int(found.apply(i).replace(",", "")) for i in ids if found.contains(i))
+
+
+@pytest.mark.parametrize("op,share", [("lt", 499.5)])
+def test_theta_ranges_query_makes_no_pairs(spark, tmp_path, op, share):
+    n = 2000  # two of each of 1,000 values on either side: at least two million pairs less those of equal values
+    for table, key, value in (("part", "p_partkey", "p_retailprice"), ("supplier", "s_suppkey", "s_acctbal")):
+        spark.range(n).selectExpr(f"id AS {key}", f"CAST(id % 1000 AS DOUBLE) AS {value}").write.parquet(f"{tmp_path}/{table}.parquet")
+    registry.QUERIES[f"join_theta_ranges_{op}"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    widest = most_rows(spark)
+    assert sum(r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()) == n * 2 * share
+    assert widest <= 2 * n
+
+
 
 def test_merge_of_parts_equals_whole(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
