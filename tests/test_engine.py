@@ -214,7 +214,7 @@ def most_rows(spark):
     return max(int(found.apply(i).replace(",", "")) for i in ids if found.contains(i))
 
 
-@pytest.mark.parametrize("op,share", [("lt", 499.5), ("le", 500.5), ("ge", 500.5), ("ne", 999)])
+@pytest.mark.parametrize("op,share", [("lt", 499.5), ("le", 500.5), ("gt", 499.5), ("ge", 500.5), ("ne", 999)])
 def test_theta_ranges_query_makes_no_pairs(spark, tmp_path, op, share):
     n = 2000  # two of each of 1,000 values on either side: at least two million pairs less those of equal values
     for table, key, value in (("part", "p_partkey", "p_retailprice"), ("supplier", "s_suppkey", "s_acctbal")):
@@ -225,7 +225,6 @@ def test_theta_ranges_query_makes_no_pairs(spark, tmp_path, op, share):
     assert widest <= 2 * n
 
 
-
 def test_merge_of_parts_equals_whole(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     parts = li.groupBy(F.pmod("l_partkey", F.lit(7))).agg(*A.state("l_quantity"))
